@@ -6,7 +6,9 @@ conversions only within their rounding.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # sRGB to XYZ under D65, its inverse, and the white point.
@@ -62,30 +64,31 @@ def hue_degrees(p: Column) -> Column:
     return F.pmod(F.degrees(F.atan2(p["b"], p["a"])), F.lit(360.0))
 
 
-def delta_e2000(p: Column, q: Column) -> Column:
-    """CIEDE2000 difference of two Lab structs, as published (unit weights)."""
-    deg = F.radians
-    mean_c7 = F.pow((chroma(p) + chroma(q)) / 2.0, F.lit(7.0))
-    g = (F.lit(1.0) - F.sqrt(mean_c7 / (mean_c7 + 25.0**7))) * 0.5
-    a1, a2 = p["a"] * (g + 1.0), q["a"] * (g + 1.0)
-    c1, c2 = F.hypot(a1, p["b"]), F.hypot(a2, q["b"])
-    h1 = F.when((a1 == 0) & (p["b"] == 0), F.lit(0.0)).otherwise(F.pmod(F.degrees(F.atan2(p["b"], a1)), F.lit(360.0)))
-    h2 = F.when((a2 == 0) & (q["b"] == 0), F.lit(0.0)).otherwise(F.pmod(F.degrees(F.atan2(q["b"], a2)), F.lit(360.0)))
-    gray = c1 * c2 == 0
-    turn = h2 - h1
-    dh = F.when(gray, F.lit(0.0)).when(turn > 180, turn - 360.0).when(turn < -180, turn + 360.0).otherwise(turn)
-    dl, dc, dhh = q["l"] - p["l"], c2 - c1, F.sqrt(c1 * c2) * F.sin(deg(dh / 2.0)) * 2.0
-    ml, mc = (p["l"] + q["l"]) / 2.0, (c1 + c2) / 2.0
-    mh = F.when(gray, h1 + h2).when(F.abs(h1 - h2) <= 180, (h1 + h2) / 2.0).when(h1 + h2 < 360, (h1 + h2 + 360.0) / 2.0).otherwise((h1 + h2 - 360.0) / 2.0)
-    t = F.lit(1.0) - F.cos(deg(mh - 30.0)) * 0.17 + F.cos(deg(mh * 2.0)) * 0.24 + F.cos(deg(mh * 3.0 + 6.0)) * 0.32 - F.cos(deg(mh * 4.0 - 63.0)) * 0.20
-    ll = F.pow(ml - 50.0, F.lit(2.0))
-    sl = ll * 0.015 / F.sqrt(ll + 20.0) + 1.0
-    sc, sh = mc * 0.045 + 1.0, mc * t * 0.015 + 1.0
-    c7 = F.pow(mc, F.lit(7.0))
-    rc = F.sqrt(c7 / (c7 + 25.0**7)) * 2.0
-    rt = -F.sin(deg(F.exp(-F.pow((mh - 275.0) / 25.0, F.lit(2.0))) * 60.0)) * rc
-    x, y, z = dl / sl, dc / sc, dhh / sh
-    return F.sqrt(x * x + y * y + z * z + rt * y * z)
+def with_delta_e2000(df: DataFrame, p: str, q: str, name: str = "delta_e") -> DataFrame:
+    """``df`` with the CIEDE2000 difference of its Lab struct columns ``p`` and ``q``, as published (unit
+    weights). Steps are columns of their own, so no term is repeated inside another."""
+    made: list[str] = []
+
+    def step(frame: DataFrame, **cols: Column) -> DataFrame:
+        named = {f"_de_{k}": v for k, v in cols.items()}
+        made.extend(named)
+        return frame.withColumns(named)
+
+    c = lambda n: F.col(f"_de_{n}")
+    deg, two, seven = F.radians, F.lit(2.0), F.lit(7.0)
+    hue = lambda a, b: F.when((a == 0) & (b == 0), F.lit(0.0)).otherwise(F.pmod(F.degrees(F.atan2(b, a)), F.lit(360.0)))
+    d = step(df, c7=F.pow((chroma(F.col(p)) + chroma(F.col(q))) / 2.0, seven))
+    d = step(d, g=(F.lit(1.0) - F.sqrt(c("c7") / (c("c7") + 25.0**7))) * 0.5 + 1.0)
+    d = step(d, a1=F.col(f"{p}.a") * c("g"), a2=F.col(f"{q}.a") * c("g"))
+    d = step(d, h1=hue(c("a1"), F.col(f"{p}.b")), h2=hue(c("a2"), F.col(f"{q}.b")), c1=F.hypot(c("a1"), F.col(f"{p}.b")), c2=F.hypot(c("a2"), F.col(f"{q}.b")))
+    d = step(d, gray=c("c1") * c("c2") == 0, turn=c("h2") - c("h1"), sum=c("h1") + c("h2"), ml=(F.col(f"{p}.l") + F.col(f"{q}.l")) / 2.0, mc=(c("c1") + c("c2")) / 2.0)
+    turn = F.when(c("gray"), F.lit(0.0)).when(c("turn") > 180, c("turn") - 360.0).when(c("turn") < -180, c("turn") + 360.0).otherwise(c("turn"))
+    mean = F.when(c("gray"), c("sum")).when(F.abs("_de_turn") <= 180, c("sum") / 2.0).when(c("sum") < 360, (c("sum") + 360.0) / 2.0).otherwise((c("sum") - 360.0) / 2.0)
+    d = step(d, dh=F.sqrt(c("c1") * c("c2")) * F.sin(deg(turn / 2.0)) * 2.0, mh=mean, ll=F.pow(c("ml") - 50.0, two), mc7=F.pow(c("mc"), seven))
+    t = F.lit(1.0) - F.cos(deg(c("mh") - 30.0)) * 0.17 + F.cos(deg(c("mh") * 2.0)) * 0.24 + F.cos(deg(c("mh") * 3.0 + 6.0)) * 0.32 - F.cos(deg(c("mh") * 4.0 - 63.0)) * 0.20
+    rot = -F.sin(deg(F.exp(-F.pow((c("mh") - 275.0) / 25.0, two)) * 60.0)) * F.sqrt(c("mc7") / (c("mc7") + 25.0**7)) * 2.0
+    d = step(d, x=(F.col(f"{q}.l") - F.col(f"{p}.l")) / (c("ll") * 0.015 / F.sqrt(c("ll") + 20.0) + 1.0), y=(c("c2") - c("c1")) / (c("mc") * 0.045 + 1.0), z=c("dh") / (c("mc") * t * 0.015 + 1.0), rt=rot)
+    return d.withColumn(name, F.sqrt(c("x") * c("x") + c("y") * c("y") + c("z") * c("z") + c("rt") * c("y") * c("z"))).drop(*made)
 
 
 def euclid(p: Column, q: Column, fields: tuple[str, ...] = ("r", "g", "b")) -> Column:
@@ -148,17 +151,25 @@ WEAK_FAMILIES = [
 FAMILY_PULL = {"red": (350, 22, 0.91), "yellow": (55, 100, 0.88), "yellowgreen": (90, 125, 0.94), "cyan": (170, 220, 0.90), "blue": (220, 285, 0.91), "purple": (285, 325, 0.91), "pink": (0, 360, 0.90)}
 
 
+def lab_of(channels: tuple[int, int, int]) -> tuple[float, float, float]:
+    """Lab of a constant color, on the driver."""
+    rgb_ = [v / 12.92 if v <= 0.04045 else ((v + 0.055) / 1.055) ** 2.4 for v in (c / 255.0 for c in channels)]
+    f = [math.cbrt(t) if t > _E else (_K * t + 16) / 116 for t in (sum(m * v for m, v in zip(row, rgb_, strict=True)) / w for row, w in zip(RGB_TO_XYZ, WHITE, strict=True))]
+    return 116 * f[1] - 16, 500 * (f[0] - f[1]), 200 * (f[1] - f[2])
+
+
 def color_family(p: Column, neutral: Column) -> Column:
-    """Name of a Lab color's family; ``neutral`` is 'light', 'dark', 'neutral' or null."""
+    """Name of a Lab color's family; ``neutral`` is 'light', 'dark', 'neutral' or null. ``p`` should be a column,
+    not an expression, as it is used many times."""
     h, c = hue_degrees(p), chroma(p)
     weak = F.when((h >= 330) | (h < 15), F.when(p["l"] >= 70, "pink").otherwise("red"))
     for low, high, light, above, below in WEAK_FAMILIES:
         weak = F.when((h >= low) & (h < high), F.when(p["l"] >= light, above).otherwise(below)).otherwise(weak)
     ranked = []
-    for order, (name, color) in enumerate(FAMILY_ANCHORS.items()):
-        anchor = lab(*[F.lit(float(v)) for v in color])
-        dl = (p["l"] - anchor["l"]) * F.when(c < 38, 0.48).otherwise(0.62)
-        d = F.sqrt(dl * dl + F.pow(p["a"] - anchor["a"], F.lit(2.0)) + F.pow(p["b"] - anchor["b"], F.lit(2.0)))
+    for order, (name, anchor) in enumerate(FAMILY_ANCHORS.items()):
+        al, aa, ab = lab_of(anchor)
+        dl = (p["l"] - al) * F.when(c < 38, 0.48).otherwise(0.62)
+        d = F.sqrt(dl * dl + F.pow(p["a"] - aa, F.lit(2.0)) + F.pow(p["b"] - ab, F.lit(2.0)))
         if name in FAMILY_PULL:
             low, high, by = FAMILY_PULL[name]
             inside = ((h >= low) | (h < high)) if low > high else ((h >= low) & (h <= high))

@@ -19,6 +19,8 @@ def get_spark(app: str = "shapelake", master: str | None = None, shuffle_partiti
     b = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC")
     if master:
         b = b.master(master)
+    if master and master.startswith("local"):  # one JVM for all tasks
+        b = b.config("spark.driver.memory", "8g")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return (
