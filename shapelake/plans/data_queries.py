@@ -85,6 +85,38 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return out.filter("content is not null").distinct()
 
 
+def _unwrapped(x: str) -> str:
+    """SQL: text that holds JSON stands for that JSON, once."""
+    return f"CASE WHEN json_type({x}) = 'VARCHAR' AND left(ltrim({x}->>'$'), 1) IN ('{{', '[', '\"') AND json_valid({x}->>'$') THEN ({x}->>'$')::JSON ELSE {x} END"
+
+
+def _many(x: str) -> str:
+    """SQL: a list, or what stands in its place as a list of one."""
+    return f"CASE json_type({x}) WHEN 'ARRAY' THEN {x} WHEN 'NULL' THEN NULL ELSE json_array({x}) END"
+
+
+P2_SQL = f"""
+WITH p AS (SELECT DISTINCT record_id, payload::JSON AS v FROM raw_records WHERE json_valid(payload) AND record_id IS NOT NULL),
+r AS (SELECT record_id, {_unwrapped('v')} AS v FROM p),
+s AS (SELECT record_id, {_unwrapped("(v->'$.screened_cases')")} AS v FROM r WHERE json_type(v) = 'OBJECT'),
+sl AS (SELECT record_id, {_many('v')} AS v FROM s),
+c0 AS (SELECT record_id, v, unnest(range(json_array_length(v)::BIGINT)) AS i FROM sl WHERE v IS NOT NULL),
+c1 AS (SELECT record_id, i, json_extract(v, '$[' || i || ']') AS v FROM c0),
+c AS (SELECT record_id, i, {_unwrapped('v')} AS v FROM c1),
+d AS (SELECT record_id, i, {_unwrapped("(v->'$.failures')")} AS f, {_unwrapped("(v->'$.details')")} AS d, {_unwrapped("(v->'$.adopted_baseline')")} AS a FROM c WHERE json_type(v) = 'OBJECT'),
+e AS (SELECT record_id, i, {_many('f')} AS f, {_unwrapped("(d->'$.identity_features')")} AS d, {_unwrapped("(a->'$.binding')")} AS b FROM d),
+g AS (SELECT record_id, i, f, {_unwrapped("(d->'$.face')")} AS face, {_many('b')} AS b FROM e),
+fl AS (SELECT record_id, i, f, unnest(range(json_array_length(f)::BIGINT)) AS j FROM g WHERE f IS NOT NULL),
+f2 AS (SELECT record_id, i, j, json_extract(f, '$[' || j || ']') AS x FROM fl),
+bl AS (SELECT record_id, i, b, unnest(range(json_array_length(b)::BIGINT)) AS j FROM g WHERE b IS NOT NULL),
+b2 AS (SELECT record_id, i, j, json_extract(b, '$[' || j || ']') AS x FROM bl),
+u AS (
+  SELECT record_id, i AS case_pos, 'failure' AS item, j AS item_pos, ({_unwrapped('x')})->>'$.code' AS content FROM f2
+  UNION ALL SELECT record_id, i, 'binding', j, ({_unwrapped('x')})->>'$.baseline_artifact_id' FROM b2
+  UNION ALL SELECT record_id, i, 'face', 0, round(try_cast(CASE json_type(face) WHEN 'OBJECT' THEN face->>'$.value' WHEN 'BOOLEAN' THEN NULL ELSE face->>'$' END AS DOUBLE) * 1000000)::BIGINT::VARCHAR FROM g)
+SELECT DISTINCT record_id, case_pos::INT AS case_pos, item, item_pos::INT AS item_pos, content FROM u WHERE content IS NOT NULL
+"""
+
 # ---- 4: schemas that drift between files
 
 
@@ -99,6 +131,34 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return drift.migration_steps(lines, chain).select("file_id", "change", "field", "new_field")
 
 
+_P4_CTES = """
+WITH files AS (SELECT DISTINCT series, file_no, file_id FROM matrix_lines WHERE file_id IS NOT NULL),
+chain AS (SELECT file_id, lag(file_id) OVER (PARTITION BY series ORDER BY file_no, file_id) AS prev_id FROM files),
+b AS (SELECT DISTINCT file_id, line_no, body::JSON AS j FROM matrix_lines WHERE json_valid(body)),
+m AS (SELECT file_id, line_no, j->>'$.case_id' AS cid, j->'$.context_metrics' AS m FROM b WHERE json_type(j->'$.context_metrics') = 'OBJECT'),
+k AS (SELECT file_id, line_no, cid, m, unnest(json_keys(m)) AS field FROM m),
+v AS (SELECT file_id, line_no, cid, field, json_extract(m, '$."' || field || '"') AS x FROM k),
+t AS (SELECT file_id, line_no, cid, field, CASE json_type(x) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS type,
+  CASE WHEN json_type(x) IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') THEN (x->>'$')::DOUBLE::VARCHAR WHEN json_type(x) = 'VARCHAR' THEN x->>'$' ELSE x::VARCHAR END AS value FROM v),
+n AS (SELECT file_id, field, type, count(DISTINCT line_no) AS n FROM t GROUP BY ALL),
+s AS (SELECT file_id, field, type FROM n QUALIFY row_number() OVER (PARTITION BY file_id, field ORDER BY type IS NULL, n DESC, type) = 1),
+o AS (SELECT c.file_id AS id, c.prev_id, s.field, s.type FROM chain c JOIN s ON s.file_id = c.prev_id),
+w AS (SELECT c.file_id AS id, c.prev_id, s.field, s.type FROM chain c JOIN s ON s.file_id = c.file_id WHERE c.prev_id IS NOT NULL),
+gone AS (SELECT o.* FROM o LEFT JOIN w USING (id, field) WHERE w.id IS NULL),
+born AS (SELECT w.* FROM w LEFT JOIN o USING (id, field) WHERE o.id IS NULL),
+tv AS (SELECT DISTINCT file_id, cid, field, type, value FROM t WHERE type IS NOT NULL AND cid IS NOT NULL),
+ga AS (SELECT g.id, g.field, g.type, tv.cid, tv.value FROM gone g JOIN tv ON tv.file_id = g.prev_id AND tv.field = g.field AND tv.type = g.type),
+ba AS (SELECT g.id, g.field, g.type, tv.cid, tv.value FROM born g JOIN tv ON tv.file_id = g.id AND tv.field = g.field AND tv.type = g.type),
+ren AS (SELECT ga.id, ga.field AS g, ba.field AS n FROM ga JOIN ba ON ga.id = ba.id AND ga.cid = ba.cid AND ga.type = ba.type GROUP BY ALL HAVING bool_and(ga.value = ba.value))
+"""
+P4_SQL = _P4_CTES + """
+SELECT id AS file_id, 'renamed' AS change, g AS field, n AS new_field FROM ren
+UNION ALL SELECT id, 'removed', field, '' FROM gone WHERE (id, field) NOT IN (SELECT (id, g) FROM ren)
+UNION ALL SELECT id, 'added', field, '' FROM born WHERE (id, field) NOT IN (SELECT (id, n) FROM ren)
+UNION ALL SELECT o.id, 'retyped', o.field, '' FROM o JOIN w ON o.id = w.id AND o.field = w.field AND o.type <> w.type
+"""
+
+
 def p4_versions(spark: SparkSession, folder: str) -> DataFrame:
     """Schema fingerprint of every file with its version: the count of changes of fingerprint up to it."""
     lines, chain = _drift(spark, folder)
@@ -253,4 +313,4 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_by_period": p5_by_period,
 }
-SQL = {"p1_found": P1_SQL, "p5_found": P5_SQL, "p5_by_period": P5_PERIOD_SQL}
+SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p5_by_period": P5_PERIOD_SQL}
