@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shapelake.functions import color, geometry, text, vectors
-from shapelake.operators import evaluation, graph, pixels, ranking
+from shapelake.operators import evaluation, graph, guides, pixels, ranking, shapes
 from shapelake.session import table
 
 QUERIES: dict = {}
@@ -173,11 +173,11 @@ def q_hist_quantile(spark, folder):
 
 def _grid(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "embeddings").select(F.lit("g").alias("image_id"), F.col("vec_id").cast("int").alias("y"), F.posexplode("embedding").alias("x", "v"))
-    return e.withColumns({"v": F.col("v").cast("double"), "region": F.floor(F.col("v").cast("double") * 2).cast("int")})
+    return e.withColumns({"v": F.col("v").cast("double"), "region": F.floor(F.col("v").cast("double") * 8).cast("int")})
 
 
 _GRID = "SELECT vec_id::INT AS y, unnest(range(len(embedding)))::INT AS x, unnest(embedding)::DOUBLE AS v FROM embeddings"
-_LABELS = f"SELECT y, x, v, floor(v * 2)::INT AS region FROM ({_GRID})"
+_LABELS = f"SELECT y, x, v, floor(v * 8)::INT AS region FROM ({_GRID})"
 _PAIRS = f"""
   WITH l AS ({_LABELS}), p AS (
     SELECT a.region AS ra, b.region AS rb FROM l a JOIN l b ON a.y = b.y AND b.x = a.x + 1
@@ -236,6 +236,97 @@ def q_contingency_winner(spark, folder):
     return pixels.winner(j, ["l_suppkey"], "p_brand").withColumn("margin", r6(F.col("margin")))
 
 
+# ---- guides and masks on the grid of labels
+
+
+def _guide(spark: SparkSession, folder: str, least: float, names: int) -> DataFrame:
+    g = _grid(spark, folder).filter(F.col("v") > least)
+    return g.select("image_id", F.concat(F.lit("l"), F.pmod("x", F.lit(names)).cast("string")).alias("label"), "y", "x", F.abs("v").alias("confidence"))
+
+
+@query(
+    f"""WITH g AS ({_GRID}), u AS (SELECT 'l' || (x % 3)::VARCHAR AS label, y, x, abs(v) AS c FROM g WHERE v > 0.3 UNION ALL SELECT 'l' || (x % 4)::VARCHAR, y, x, abs(v) / 2 FROM g WHERE v > 0.1)
+    SELECT label, y, x, round(max(c), 6) AS confidence FROM u GROUP BY ALL"""
+)
+def q_guide_fusion(spark, folder):
+    """Greatest confidence of each label at each place over two guides."""
+    second = _guide(spark, folder, 0.1, 4).withColumn("confidence", F.col("confidence") / 2)
+    return guides.fuse_guides(_guide(spark, folder, 0.3, 3), second).select("label", "y", "x", r6(F.col("confidence")).alias("confidence"))
+
+
+@query(
+    f"""WITH l AS ({_LABELS}), n AS (SELECT y % 50 AS img, region, count(*) AS n FROM l GROUP BY ALL),
+    s AS (SELECT y % 50 AS img, region, 'l' || (x % 3)::VARCHAR AS label, sum(abs(v)) AS s FROM l WHERE v > 0.3 GROUP BY ALL),
+    b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY img, region ORDER BY s DESC, label) = 1)
+    SELECT n.img::INT AS img, n.region, b.label, round(coalesce(b.s / n.n, 0), 6) AS confidence FROM n LEFT JOIN b USING (img, region)"""
+)
+def q_region_semantics(spark, folder):
+    """Label of greatest mean confidence per region."""
+    image = F.pmod("y", F.lit(50)).cast("string")
+    out = guides.region_semantics(_grid(spark, folder).withColumn("image_id", image), _guide(spark, folder, 0.3, 3).withColumn("image_id", image))
+    return out.select(F.col("image_id").cast("int").alias("img"), "region", "label", r6(F.col("confidence")).alias("confidence"))
+
+
+@query(
+    f"""WITH g AS ({_GRID}), m AS (SELECT (y // 50)::INT AS img, 'a' AS role, y, x FROM g WHERE v > 0.3 UNION ALL SELECT (y // 50)::INT, 'b', y, x FROM g WHERE v < -0.3 UNION ALL SELECT (y // 50)::INT, 'c', y, x FROM g WHERE v BETWEEN 0.28 AND 0.32),
+    n AS (SELECT img, role, count(*) AS n FROM m GROUP BY ALL), p AS (SELECT i.img, i.role AS a, j.role AS b, i.n AS na, j.n AS nb FROM n i JOIN n j ON i.img = j.img AND i.role < j.role),
+    s AS (SELECT i.img, i.role AS a, j.role AS b, count(*) AS shared FROM m i JOIN m j USING (img, y, x) WHERE i.role < j.role GROUP BY ALL),
+    d AS (SELECT UNNEST(range(-1, 2)) AS d), w AS (SELECT DISTINCT img, role, y + d1.d AS y, x + d2.d AS x FROM m, d d1, d d2),
+    c AS (SELECT w.img, w.role AS a, j.role AS b, count(*) AS contact FROM w JOIN m j ON w.img = j.img AND w.y = j.y AND w.x = j.x WHERE w.role < j.role GROUP BY ALL)
+    SELECT img, a, b, CASE WHEN shared > 0 THEN 'OVERLAP' WHEN contact > 0 THEN 'TOUCHING' ELSE 'DISJOINT' END AS relation, coalesce(shared, 0) AS shared, coalesce(contact, 0) AS contact, round(coalesce(shared, 0) / na, 6) AS share_a, round(coalesce(shared, 0) / nb, 6) AS share_b
+    FROM p LEFT JOIN s USING (img, a, b) LEFT JOIN c USING (img, a, b)"""
+)
+def q_mask_relations(spark, folder):
+    """Overlap, contact or neither of every two masks."""
+    g = _grid(spark, folder).withColumn("image_id", F.floor(F.col("y") / 50).cast("string"))
+    v = F.col("v")
+    roles = F.array_compact(F.array(F.when(v > 0.3, "a"), F.when(v < -0.3, "b"), F.when(v.between(0.28, 0.32), "c")))
+    out = guides.mask_relations(g.select("image_id", F.explode(roles).alias("role"), "y", "x"))
+    return out.select(F.col("image_id").cast("int").alias("img"), "a", "b", "relation", "shared", "contact", r6(F.col("share_a")).alias("share_a"), r6(F.col("share_b")).alias("share_b"))
+
+
+@query(
+    f"""WITH l AS ({_LABELS}), p AS (SELECT i.y AS y, i.x AS x, j.y AS y2, j.x AS x2, i.region <> j.region AS diff FROM l i JOIN l j ON i.y = j.y AND j.x = i.x + 1 UNION ALL SELECT i.y, i.x, j.y, j.x, i.region <> j.region FROM l i JOIN l j ON i.x = j.x AND j.y = i.y + 1),
+    b AS (SELECT y, x FROM p WHERE diff UNION SELECT y2, x2 FROM p WHERE diff), d AS (SELECT UNNEST(range(-1, 2)) AS d), n AS (SELECT DISTINCT b.y + d1.d AS y, b.x + d2.d AS x FROM b, d d1, d d2),
+    e AS (SELECT y, x, least(1, greatest(0, v)) AS w FROM l) SELECT round(sum(w) FILTER (n.y IS NOT NULL) / sum(w), 6) AS coverage FROM e LEFT JOIN n USING (y, x)"""
+)
+def q_edge_coverage(spark, folder):
+    """Share of edge weight near label boundaries."""
+    return guides.edge_coverage(_grid(spark, folder), "v").select(r6(F.col("coverage")).alias("coverage"))
+
+
+@query(
+    """WITH b AS (SELECT c_nationkey AS k, o_orderstatus AS s, o_orderkey AS id, o_totalprice / 1000 AS x, extract(day FROM o_orderdate) AS y FROM orders JOIN customer ON o_custkey = c_custkey)
+    SELECT id FROM b WHERE NOT EXISTS (SELECT 1 FROM b o WHERE o.k = b.k AND o.s = b.s AND o.id <> b.id AND sqrt(pow(greatest(0, abs(o.x - b.x) - 1), 2) + pow(greatest(0, abs(o.y - b.y) - 0.5), 2)) <= 0.75)"""
+)
+def q_isolated(spark, folder):
+    """Boxes without a neighbour of their layer within reach."""
+    o = table(spark, folder, "orders").join(table(spark, folder, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    box = F.array(F.col("o_totalprice") / 1000, F.dayofmonth("o_orderdate").cast("double"), F.lit(1.0), F.lit(0.5))
+    s = o.select(F.col("c_nationkey").alias("image_id"), F.col("o_orderstatus").alias("layer"), F.col("o_orderkey").alias("shape_id"), box.alias("box"))
+    return shapes.isolated(s, F.lit(0.75)).select(F.col("shape_id").alias("id"))
+
+
+@query(
+    """WITH m AS (SELECT l_returnflag AS run_id, l_linenumber AS phase, avg(l_quantity) AS mean_seconds FROM lineitem GROUP BY ALL)
+    SELECT run_id, phase, round(mean_seconds, 6) AS mean_seconds, round(mean_seconds / sum(mean_seconds) OVER (PARTITION BY run_id), 6) AS share FROM m"""
+)
+def q_phase_profile(spark, folder):
+    """Mean of each phase and its share of the run."""
+    t = table(spark, folder, "lineitem").select(F.col("l_returnflag").alias("run_id"), F.col("l_linenumber").alias("phase"), F.col("l_quantity").alias("seconds"))
+    return shapes.phase_profile(t).withColumns({c: r6(F.col(c)) for c in ("mean_seconds", "share")})
+
+
+@query(
+    """WITH m AS (SELECT o_custkey, avg(o_totalprice) AS mean, max(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END) AS top FROM orders GROUP BY ALL)
+    SELECT o_custkey, concat_ws(',', CASE WHEN NOT coalesce(mean <= 260000, false) THEN 'mean' END, CASE WHEN NOT coalesce(top <= 400000, false) THEN 'top' END) AS exceeded, coalesce(mean <= 260000, false) AND coalesce(top <= 400000, false) AS passed FROM m"""
+)
+def q_within_budget(spark, folder):
+    """Measurements against limits; a missing one exceeds."""
+    m = table(spark, folder, "orders").groupBy("o_custkey").agg(F.avg("o_totalprice").alias("mean"), F.max(F.when(F.col("o_orderstatus") == "P", F.col("o_totalprice"))).alias("top"))
+    return shapes.within_budget(m, ["o_custkey"], {"mean": 260000.0, "top": 400000.0}).withColumn("exceeded", F.array_join("exceeded", ","))
+
+
 # ---- case rules and ranking
 
 

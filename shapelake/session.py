@@ -55,7 +55,7 @@ def shared_dir(spark: SparkSession) -> str:
     set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
     if set_before.isDefined():
         return set_before.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="shapelake-")
     atexit.register(shutil.rmtree, folder, True)
@@ -64,8 +64,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path for a written intermediate table in the shared folder."""
-    return f"{shared_dir(spark)}/shapelake/{label}-{uuid.uuid4().hex}"
+    """A new path for a written intermediate table in the shared folder, under the application's own name."""
+    return f"{shared_dir(spark)}/shapelake-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+
+
+def clean_scratch(spark: SparkSession) -> None:
+    """Delete the application's written intermediate tables; for long sessions, once their results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/shapelake-{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
