@@ -12,10 +12,11 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, ro
     """Component of every vertex: the least vertex id of it. ``edges``: a, b; ``vertices``: v (adds lone ones).
 
     Alternating large-star and small-star steps: each round rewires every vertex to the least of its
-    neighbourhood, which ends after a number of rounds logarithmic in practice. A step is one aggregation
-    and one join on a vertex; a hub with a third of all edges spreads, as its edges leave it by their other
-    ends and AQE splits what remains. Each round is written to the shared folder, so lineage stays short and
-    nothing is kept on one machine. Null ends and loops are no edges. Raises if ``rounds`` don't suffice.
+    neighbourhood, which ends after a number of rounds logarithmic in practice. A step is one combining
+    aggregation and one join on a vertex. The aggregates are written before they are joined: both sides of the
+    join are then plain shuffles, and AQE can split a hub that holds a third of all edges. Each round is
+    written to the shared folder, so lineage stays short and nothing is kept on one machine. Null ends and
+    loops are no edges. Raises if ``rounds`` don't suffice.
     """
     pairs = materialize(edges.filter("a is not null and b is not null and a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
     if not pairs.take(1):
@@ -23,11 +24,12 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, ro
         return lone.select("v", F.col("v").alias("component")).distinct()
     for _ in range(rounds):
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "cc")
         # large star: greater neighbours go to the least of the neighbourhood
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         # small star: a vertex and its lesser neighbours go to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = materialize(large, "cc")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "cc")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u != v").distinct()
         new = materialize(small, "cc")
         changed = new.exceptAll(pairs).take(1) or pairs.exceptAll(new).take(1)

@@ -4,9 +4,13 @@ Method: the key space is cut into ranges; the parents of each range stand as sor
 references are probed against them by vectorised binary search; the misses come out and are aggregated.
 
 The range of a key is a range of its 64-bit digest: ranges of equal width hold equally many distinct keys,
-so no bounds need to be sampled, and equality of the keys themselves is checked at the probe. A range that
-holds more than its share of references (one key may hold a third of all rows) is split by a salt of the
-row; its parents go to every split, its references to one. References are streamed, never gathered.
+so no bounds need to be sampled, and equality of the keys themselves is checked at the probe.
+
+One key may hold a third of all rows, on either side. A range with more intervals than a parameter is cut
+into slices of time: a slice holds the intervals that begin in it and, per key, what the earlier slices leave
+(whether any began, and the latest end), so it answers for its times alone. A slice with more references than
+a parameter is split by a salt of the row; its parents go to every split, its references to one. References
+are streamed, never gathered.
 """
 
 from __future__ import annotations
@@ -16,12 +20,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shapelake.session import materialize, shuffle_partitions
 
 _FAR = 2**62  # later than any time in microseconds
-_PACK = "rng int, sub int, is_ref boolean, h bigint, k string, t bigint, e bigint, tbl string, ref_field string, row_id bigint, period string, received bigint"
+_NULL_TIME = -(2**62)  # earlier than any
 _OUT = "tbl string, ref_field string, row_id bigint, period string, kind string, received bigint"
 _OUT_ARROW = pa.schema(
     [("tbl", pa.string()), ("ref_field", pa.string()), ("row_id", pa.int64()), ("period", pa.string()), ("kind", pa.string()), ("received", pa.int64())]
@@ -92,7 +97,7 @@ _KINDS = np.array(["live", "missing", "deleted", "late"], dtype=object)
 
 
 def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (rng, sub, is_ref, h, k, t): of each part first its parents, then its references."""
+    """Rows sorted by (rng, slice, sub, is_ref, h, k, t): of each part first its parents, then its references."""
     part, held, ranges = None, [], None
 
     def arrays() -> _Range:
@@ -104,15 +109,18 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-        ids = col["rng"].to_numpy().astype(np.int64) * 2**31 + col["sub"].to_numpy()
+        where = [col[c].to_numpy() for c in ("rng", "slice", "sub")]
         is_ref = col["is_ref"].to_numpy(zero_copy_only=False).astype(np.int64)
-        mode = ids * 2 + is_ref
-        edges = [0, *(np.flatnonzero(np.diff(mode)) + 1), len(mode)]
+        moved = np.zeros(max(0, len(is_ref) - 1), bool)
+        for x in (*where, is_ref):
+            moved |= np.diff(x) != 0
+        edges = [0, *(np.flatnonzero(moved) + 1), len(is_ref)]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             if a == b:
                 continue
-            if part != ids[a]:
-                part, held, ranges = ids[a], [], None
+            here = tuple(int(x[a]) for x in where)
+            if part != here:
+                part, held, ranges = here, [], None
             cut = {n: c.slice(a, b - a) for n, c in col.items()}
             h, t = cut["h"].to_numpy(), cut["t"].to_numpy()
             if not is_ref[a]:
@@ -129,7 +137,35 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def orphan_references(parents: DataFrame, refs: DataFrame, ranges: int | None = None, refs_per_split: int = 2_000_000) -> DataFrame:
+def _sliced(p: DataFrame, per_slice: int) -> tuple[DataFrame, DataFrame]:
+    """Parents (k, t, e, h, rng) with their slice, and the cut ranges (rng, slices, t0, width).
+
+    For a cut range every slice gets a row per key of the range that says the key occurs (it begins never), and
+    one with the latest end of all earlier slices (it began before all times). The running maximum goes over a
+    key's slices, whose number a range's size bounds, not over its intervals.
+    """
+    began = F.when(F.col("t") < _FAR, F.col("t"))
+    cut = p.groupBy("rng").agg(F.count("*").alias("n"), F.min(began).alias("t0"), F.max(began).alias("t1")).filter((F.col("n") > per_slice) & F.col("t0").isNotNull())
+    # At most one row per range: a size set by the number of ranges, whatever the data.
+    cut = materialize(cut.select("rng", F.ceil(F.col("n") / per_slice).cast("int").alias("slices"), "t0", F.ceil((F.col("t1") - F.col("t0") + 1) / F.ceil(F.col("n") / per_slice)).cast("bigint").alias("width")), "cut")
+    if not cut.take(1):
+        return p.withColumn("slice", F.lit(0)), cut
+    d = p.join(F.broadcast(cut), "rng", "left").withColumn("slice", slice_of("t"))
+    key = d.filter("slices is not null").groupBy("rng", "h", "k", "slices", "slice").agg(F.max(F.when(F.col("t") < _FAR, F.col("e"))).alias("m"))
+    w = W.partitionBy("rng", "k").orderBy("slice")
+    runs = key.withColumns({"top": F.max("m").over(w.rowsBetween(W.unboundedPreceding, 0)), "next": F.coalesce(F.lead("slice").over(w), F.col("slices") - 1)})
+    carry = runs.filter("top is not null and next > slice").select("k", F.lit(_NULL_TIME).alias("t"), F.col("top").alias("e"), "h", "rng", F.explode(F.sequence(F.col("slice") + 1, "next")).alias("slice"))
+    known = key.select("rng", "h", "k", "slices").distinct().select("k", F.lit(_FAR).alias("t"), F.lit(_FAR).alias("e"), "h", "rng", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
+    return d.select("k", "t", "e", "h", "rng", "slice").unionByName(carry).unionByName(known), cut
+
+
+def slice_of(t: str) -> Column:
+    """The slice of a time in a cut range, 0 in others."""
+    at = F.floor((F.greatest(F.least(F.col(t), F.col("t0") + F.col("width") * F.col("slices")), F.col("t0")) - F.col("t0")) / F.col("width"))
+    return F.coalesce(F.least(at, F.col("slices") - 1), F.lit(0)).cast("int")
+
+
+def orphan_references(parents: DataFrame, refs: DataFrame, ranges: int | None = None, refs_per_split: int = 2_000_000, parents_per_slice: int = 1_000_000) -> DataFrame:
     """References whose key does not live at their time.
 
     ``parents``: ``k`` (text: kind of key and key), ``s`` and ``e`` (microseconds; live from s up to, not
@@ -140,8 +176,8 @@ def orphan_references(parents: DataFrame, refs: DataFrame, ranges: int | None =
     Defined cases: null keys and blank ones are no references and no parents (callers turn blank to null);
     a null time can't be judged against intervals, so only a missing key is reported; without parents
     every reference is missing; of several rows of a row_id and ref_field that miss, the one received last
-    is given. ``ranges`` cuts the digest space (default: four per shuffle partition); a range with more than
-    ``refs_per_split`` references is split, so it bounds what one task probes, not what is probed.
+    is given. ``ranges`` cuts the digest space (default: four per shuffle partition); ``parents_per_slice``
+    and ``refs_per_split`` bound what one task holds and probes, not what is probed.
     """
     spark = refs.sparkSession
     n = ranges or 4 * shuffle_partitions(spark)
@@ -157,12 +193,15 @@ def orphan_references(parents: DataFrame, refs: DataFrame, ranges: int | None =
         .withColumn("h", h)
         .withColumn("rng", rng)
     )
-    r = refs.filter("k is not null").withColumn("h", h).withColumn("rng", rng)
-    # At most n rows of (range, number of splits): a size set by the parameter, whatever the data.
-    splits = r.groupBy("rng").agg(F.count("*").alias("c")).select("rng", F.ceil(F.col("c") / refs_per_split).cast("int").alias("splits")).filter("splits > 1")
+    p, cut = _sliced(materialize(p, "parents"), parents_per_slice)
+    r = refs.filter("k is not null").withColumn("h", h).withColumn("rng", rng).withColumn("t", F.coalesce("t", F.lit(_NULL_TIME)))
+    r = r.join(F.broadcast(cut), "rng", "left").withColumn("slice", slice_of("t")).drop("slices", "t0", "width")
+    # One row per part that is split: their number is bound by the references over refs_per_split.
+    splits = r.groupBy("rng", "slice").agg(F.count("*").alias("c")).select("rng", "slice", F.ceil(F.col("c") / refs_per_split).cast("int").alias("splits")).filter("splits > 1")
     splits = F.broadcast(materialize(splits, "splits"))
-    p = p.join(splits, "rng", "left").select(
+    p = p.join(splits, ["rng", "slice"], "left").select(
         "rng",
+        "slice",
         F.explode(F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1)).alias("sub"),
         F.lit(False).alias("is_ref"),
         "h",
@@ -171,13 +210,14 @@ def orphan_references(parents: DataFrame, refs: DataFrame, ranges: int | None =
         "e",
         *[F.lit(None).cast(x).alias(c) for c, x in (("tbl", "string"), ("ref_field", "string"), ("row_id", "bigint"), ("period", "string"), ("received", "bigint"))],
     )
-    r = r.join(splits, "rng", "left").select(
+    r = r.join(splits, ["rng", "slice"], "left").select(
         "rng",
+        "slice",
         F.when(F.col("splits") > 1, F.pmod(F.xxhash64("tbl", "row_id"), F.col("splits"))).otherwise(0).cast("int").alias("sub"),
         F.lit(True).alias("is_ref"),
         "h",
         "k",
-        F.coalesce("t", F.lit(-(2**62))).alias("t"),
+        "t",
         F.lit(0).cast("bigint").alias("e"),
         "tbl",
         "ref_field",
@@ -185,7 +225,7 @@ def orphan_references(parents: DataFrame, refs: DataFrame, ranges: int | None =
         "period",
         "received",
     )
-    packed = p.unionByName(r).repartition("rng", "sub").sortWithinPartitions("rng", "sub", "is_ref", "h", "k", "t")
+    packed = p.unionByName(r).repartition("rng", "slice", "sub").sortWithinPartitions("rng", "slice", "sub", "is_ref", "h", "k", "t")
     return packed.mapInArrow(_probe, _OUT).filter("period is not null or kind = 'missing'")
 
 

@@ -31,13 +31,13 @@ def run(spark, parents, refs, **kw):
     return {tuple(x) for x in got}
 
 
-@pytest.mark.parametrize("split", [7, 2_000_000])
-def test_random_intervals_match_brute_force(spark, split):
+@pytest.mark.parametrize(("split", "cut"), [(7, 1_000_000), (2_000_000, 5), (11, 3), (2_000_000, 1_000_000)])
+def test_random_intervals_match_brute_force(spark, split, cut):
     rnd = random.Random(5)
     keys = [f"adoption:{i}" for i in range(40)] + ["path:ü", "path: "]
     parents = [(rnd.choice(keys[:30] + ["adoption:0"] * 30), rnd.choice([None, rnd.randint(0, 50), 7]), rnd.choice([None, rnd.randint(0, 60), 7])) for _ in range(150)]
     refs = [(rnd.choice(keys + ["adoption:0"] * 20 + [None]), rnd.randint(-2, 60), rnd.choice("ab"), "f", i // 2, f"2025-{i % 12 + 1:02d}", rnd.randint(0, 3)) for i in range(600)]
-    assert run(spark, parents, refs, ranges=5, refs_per_split=split) == brute(parents, refs)
+    assert run(spark, parents, refs, ranges=5, refs_per_split=split, parents_per_slice=cut) == brute(parents, refs)
 
 
 def test_bounds_of_an_interval(spark):
