@@ -7,9 +7,10 @@ failed case.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shapelake.operators.ranking import lagged
+
 # The eight dimensions of a gap report.
 DIMENSIONS = ["semantic_survival", "recognizability", "geometry_abstraction", "palette_role_preservation", "composition_negative_space", "primitive_economy", "orphan_contour_penalty", "feature_local_evidence"]
 
@@ -88,10 +89,9 @@ def df_agg(df: DataFrame, key: list[str], aggs: list[Column]) -> DataFrame:
 def verdicts(runs: DataFrame, key: list[str], order: list[str], score: str) -> DataFrame:
     """Each run's score against the run before: previous, delta, and improved, regressed, unchanged or
     (without predecessor) evaluated. ``order`` must be total within the key."""
-    prev = F.lag(score).over(W.partitionBy(*key).orderBy(*order))
     d = F.col(score) - F.col("previous")
     verdict = F.when(F.col("previous").isNull(), "evaluated").when(d > 0, "improved").when(d < 0, "regressed").otherwise("unchanged")
-    return runs.withColumn("previous", prev).withColumns({"delta": d, "verdict": verdict})
+    return lagged(runs, key, order, score, "previous").withColumns({"delta": d, "verdict": verdict})
 
 
 def ab_summary(pairs: DataFrame, key: list[str], before: Column, after: Column, worse: Column, guards: Column) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from shapelake.session import fresh_name
+from shapelake.session import fresh_name, materialize, shuffle_partitions
 
 
 def top_per_group(df: DataFrame, key: list[str], order: list[Column], k: Column | int, tie: list[str], rank: str = "rank", salts: int = 16) -> DataFrame:
@@ -101,13 +101,68 @@ def proportional_bounds(df: DataFrame, key: list[str], share: str, length: Colum
     return d.select(*df.columns, F.when(even, e0).otherwise(F.col("_stop") - F.col("_size")).alias("start"), F.when(even, e1).otherwise(F.col("_stop")).alias("stop"))
 
 
-def even_sample(df: DataFrame, key: list[str], order: list[str], most: int) -> DataFrame:
+def _split_hot(df: DataFrame, key: list[str], order: list[str], most: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups up to ``most`` rows, and those of larger groups cut into ordered pieces ``_pid``.
+
+    The pieces come from one range partitioning on (key, order), so a group of any size is spread over tasks,
+    and are written, so that they are the same whenever they are read. At most (rows / ``most``) groups can be
+    that large, so their list stays small.
+    """
+    hot = materialize(df.groupBy(*key).agg(F.count("*").alias("_size")).filter(F.col("_size") > most), "hot")
+    rows = hot.agg(F.sum("_size").alias("s")).first()["s"]
+    if not rows:
+        return df, None
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"h.{k}")) for k in key]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    d, h = df.alias("d"), F.broadcast(hot).alias("h")
+    parts = max(shuffle_partitions(df.sparkSession), -(-rows // most))
+    pieces = d.join(h, on, "left_semi").repartitionByRange(parts, *key, *order).withColumn("_pid", F.spark_partition_id())
+    return d.join(h, on, "left_anti"), materialize(pieces, "pieces")
+
+
+def numbered(df: DataFrame, key: list[str], order: list[str], most: int = 5_000_000) -> DataFrame:
+    """``df`` with ``_i``, each row's place in its group from 1, and ``_n``, the group's size. ``order`` must be
+    total. A group of more than ``most`` rows is numbered piece by piece, with offsets from the pieces' counts."""
+    w = W.partitionBy(*key)
+    cold, pieces = _split_hot(df, key, order, most)
+    out = cold.withColumns({"_i": F.row_number().over(w.orderBy(*order)).cast("bigint"), "_n": F.count("*").over(w)})
+    if pieces is None:
+        return out
+    per = pieces.groupBy(*key, "_pid").agg(F.count("*").alias("_c"))
+    per = per.withColumns({"_before": F.coalesce(F.sum("_c").over(w.orderBy("_pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "_n": F.sum("_c").over(w)})
+    same = F.col("a._pid") == F.col("b._pid")
+    for k in key:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    placed = pieces.withColumn("_i", F.row_number().over(W.partitionBy(*key, "_pid").orderBy(*order))).alias("a").join(F.broadcast(per).alias("b"), same)
+    return out.unionByName(placed.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("a._i") + F.col("b._before")).alias("_i"), F.col("b._n").alias("_n")))
+
+
+def lagged(df: DataFrame, key: list[str], order: list[str], value: str, name: str, most: int = 5_000_000) -> DataFrame:
+    """``df`` with ``name``, the value of the row before in its group (null for the first). ``order`` must be total.
+    In a group of more than ``most`` rows the first row of each piece takes the last value of the piece before."""
+    cold, pieces = _split_hot(df, key, order, most)
+    out = cold.withColumn(name, F.lag(value).over(W.partitionBy(*key).orderBy(*order)))
+    if pieces is None:
+        return out
+    ends = pieces.groupBy(*key, "_pid").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_end"))
+    ends = ends.withColumn("_end", F.lag("_end").over(W.partitionBy(*key).orderBy("_pid")))
+    w = W.partitionBy(*key, "_pid").orderBy(*order)
+    own = pieces.withColumns({"_first": F.row_number().over(w) == 1, "_lag": F.lag(value).over(w)})
+    same = F.col("a._pid") == F.col("b._pid")
+    for k in key:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    j = own.alias("a").join(F.broadcast(ends).alias("b"), same)
+    return out.unionByName(j.select(*[F.col(f"a.{c}") for c in df.columns], F.when(F.col("a._first"), F.col("b._end.v")).otherwise(F.col("a._lag")).alias(name)))
+
+
+def even_sample(df: DataFrame, key: list[str], order: list[str], most: int, rows_per_task: int = 5_000_000) -> DataFrame:
     """Up to ``most`` rows of each group, evenly spaced in its order: places floor(k (n-1) / (most-1)).
 
     The sampling is the feature of this operator; callers that need all rows don't use it.
     """
-    w = W.partitionBy(*key)
-    d = df.withColumns({"_i": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count("*").over(w)})
+    d = numbered(df, key, order, rows_per_task).withColumn("_i", F.col("_i") - 1)
     # place i is taken if some k gives floor(k (n-1)/(m-1)) = i: the first such k is ceil(i (m-1)/(n-1))
     m = F.lit(most)
     k = F.ceil(F.col("_i") * (m - 1) / F.greatest(F.col("_n") - 1, F.lit(1)))
@@ -115,10 +170,10 @@ def even_sample(df: DataFrame, key: list[str], order: list[str], most: int) -> D
     return d.filter((F.col("_n") <= m) | (hit & (k <= m - 1))).drop("_i", "_n")
 
 
-def spacing(df: DataFrame, key: list[str], at: Column, tie: list[str]) -> DataFrame:
+def spacing(df: DataFrame, key: list[str], at: Column, tie: list[str], rows_per_task: int = 5_000_000) -> DataFrame:
     """Gaps between consecutive rows of each group."""
-    w = W.partitionBy(*key).orderBy("_at", *tie)
-    return df.withColumn("_at", at).withColumn("gap", F.col("_at") - F.lag("_at").over(w)).filter("gap is not null").drop("_at")
+    d = lagged(df.withColumn("_at", at), key, ["_at", *tie], "_at", "_before", rows_per_task)
+    return d.withColumn("gap", F.col("_at") - F.col("_before")).filter("gap is not null").drop("_at", "_before")
 
 
 def padded_moving_average(df: DataFrame, key: list[str], order: str, value: str, radius: int) -> DataFrame:

@@ -108,3 +108,20 @@ def test_quota_fill_and_balance(spark):
     assert {r.side: r["count"] for r in took} == {"left": 4, "right": 4, "center": 2}
     few = ranking.balanced_take(df.filter("side != 'left'"), ["image"], "side", 10, [F.desc("v")], ["id"])
     assert few.count() == 10
+
+
+@pytest.mark.parametrize("most", [7, 1_000_000])
+def test_places_and_neighbours_in_hot_groups(spark, most):
+    rnd = random.Random(6)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), rnd.randint(0, 5), i, rnd.choice([None, 1.5, 2.5])) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, t int, id int, v double").repartition(5)
+    want_i, want_v, n = {}, {}, {}
+    for g in ("a", "b", None):
+        group = sorted((r[1:] for r in rows if r[0] == g), key=lambda r: r[:2])
+        for i, r in enumerate(group):
+            want_i[r[1]], want_v[r[1]], n[r[1]] = i + 1, group[i - 1][2] if i else None, len(group)
+    got = ranking.numbered(df, ["g"], ["t", "id"], most).collect()
+    assert {r.id: r._i for r in got} == want_i and {r.id: r._n for r in got} == n and len(got) == 300
+    got = ranking.lagged(df, ["g"], ["t", "id"], "v", "before", most).collect()
+    assert {r.id: r.before for r in got} == want_v and len(got) == 300
+    assert ranking.numbered(df.filter("false"), ["g"], ["t", "id"], most).count() == 0
