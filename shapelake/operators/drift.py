@@ -39,19 +39,20 @@ def read_lines(df: DataFrame, body: str = "body", group: str = "context_metrics"
     """One row per line and field: series, file_no, file_id, line_no, case_id, field, type, value.
 
     A line is a (file_id, line_no); one delivered twice comes out twice here, and the operators below count
-    it once. A line that is not JSON, or whose ``group`` is no object, gives nothing. Numbers get one text per value (28 and 28.0 are equal), arrays
+    it once. A line that is not JSON, has text after its object, repeats a key within an object, or whose
+    ``group`` is no object, gives nothing. Numbers get one text per value (28 and 28.0 are equal), arrays
     and objects a canonical text; JSON null has a null type and value. Values are parsed by the JVM.
     """
-    parsed = df.filter("file_id is not null").select(
-        "series", "file_no", "file_id", "line_no", F.try_parse_json(F.col(body).cast("string")).alias("v")
-    )
+    # The parser stops behind the first value, so a line is parsed as a list's only element: text behind it fails.
+    parsed = df.filter("file_id is not null").select("series", "file_no", "file_id", "line_no", F.try_parse_json(F.concat(F.lit("["), F.col(body).cast("string"), F.lit("]"))).alias("v"))
+    parsed = parsed.filter(F.try_variant_get("v", "$[1]", "variant").isNull())
     fields = parsed.select(
         "series",
         "file_no",
         "file_id",
         "line_no",
-        F.try_variant_get("v", f"$.{case}", "string").alias("case_id"),
-        F.explode(F.try_variant_get("v", f"$.{group}", "map<string,variant>")).alias("field", "x"),
+        F.try_variant_get("v", f"$[0].{case}", "string").alias("case_id"),
+        F.explode(F.try_variant_get("v", f"$[0].{group}", "map<string,variant>")).alias("field", "x"),
     )
     typed = fields.withColumn("type", json_type(F.col("x")))
     # Adding 0.0 makes -0.0 and 0.0 one value.

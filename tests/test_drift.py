@@ -87,6 +87,9 @@ ROWS = [
     ("s", 4, 12, 4, '{"case_id": "a", "context_metrics": {"new": 1', 1, "x"),
     ("s", 4, 12, 5, '{"case_id": "a", "context_metrics": []}', 1, "x"),
     ("s", 4, 12, 6, None, 1, "x"),
+    ("s", 4, 12, 7, '{"case_id": "a", "context_metrics": {"junk": 1}} more', 1, "x"),
+    ("s", 4, 12, 8, '{"case_id": "a", "context_metrics": {"junk": 1}}}', 1, "x"),
+    ("s", 4, 12, 9, '{"case_id": "a", "context_metrics": {"junk": 1}}, {}', 1, "x"),
     ("s", 6, 13, 1, "no json at all", 1, "x"),
     line("s", 9, 14, 1, "a", last=1, t=3),
     line("other", 1, 21, 1, "a", p=[1], q={"a": 1}),
