@@ -159,6 +159,14 @@ UNION ALL SELECT o.id, 'retyped', o.field, '' FROM o JOIN w ON o.id = w.id AND o
 """
 
 
+P4_VERSIONS_SQL = _P4_CTES + """
+, f AS (SELECT file_id, sha256(string_agg(field || ':' || coalesce(type, 'null'), chr(10) ORDER BY field || ':' || coalesce(type, 'null'))) AS fingerprint, count(*) AS fields FROM s GROUP BY file_id),
+c AS (SELECT files.series, files.file_no, files.file_id, coalesce(fingerprint, '') AS fingerprint, coalesce(fields, 0) AS fields FROM files LEFT JOIN f USING (file_id)),
+d AS (SELECT *, CASE WHEN lag(fingerprint) OVER (PARTITION BY series ORDER BY file_no, file_id) = fingerprint THEN 0 ELSE 1 END AS moved FROM c)
+SELECT series, file_no, file_id, fingerprint, fields, sum(moved) OVER (PARTITION BY series ORDER BY file_no, file_id)::BIGINT AS version FROM d
+"""
+
+
 def p4_versions(spark: SparkSession, folder: str) -> DataFrame:
     """Schema fingerprint of every file with its version: the count of changes of fingerprint up to it."""
     lines, chain = _drift(spark, folder)
@@ -313,4 +321,4 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_by_period": p5_by_period,
 }
-SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p5_found": P5_SQL, "p5_by_period": P5_PERIOD_SQL}
+SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p4_versions": P4_VERSIONS_SQL, "p5_found": P5_SQL, "p5_by_period": P5_PERIOD_SQL}

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shapelake.functions import color
-from shapelake.kernels import raster, tree
+from shapelake.kernels import boundary, raster, tree
 from shapelake.operators import pixels, ranking, regions
 from shapelake.session import materialize
 
@@ -273,3 +273,19 @@ def hierarchical_scene(images: DataFrame, counts: tuple[int, ...] = (12, 24, 48,
     cuts = materialize(merge_and_cut(stats, boundary, pixels.perimeters(labels), list(counts)), "cuts")
     selected = labels.join(cuts, ["image_id", "region"]).select("image_id", "wanted", "y", "x", F.col("node").alias("region"), "l", "ca", "cb")
     return {"labels": labels, "stats": stats, "boundary": boundary, "cuts": cuts, "selected": selected}
+
+
+def boundary_chains(selected: DataFrame, key: list[str], tolerance: float = 1.0) -> DataFrame:
+    """Shared outlines of each label image (``key`` names its columns; y, x, region its pixels): a row per chain
+    with the regions on both sides, simplified once for both. One image per task."""
+    head = selected.select(*key)
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in head.schema.fields)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        lab = np.full((pdf.y.max() + 1, pdf.x.max() + 1), boundary.OUTSIDE)
+        lab[pdf.y, pdf.x] = pdf.region
+        rows = boundary.simplified(boundary.chains(lab), tolerance)
+        at = [pdf[k].iat[0] for k in key]
+        return pd.DataFrame([(*at, i, c["right"], c["left"], c["closed"], [{"x": x, "y": y} for x, y in c["points"]]) for i, c in enumerate(rows)], columns=[*key, "chain", "a", "b", "closed", "points"])
+
+    return selected.select(*key, "y", "x", "region").groupBy(*key).applyInPandas(run, f"{ddl}, chain int, a int, b int, closed boolean, points array<struct<x:double,y:double>>")

@@ -143,6 +143,9 @@ def test_hierarchical_cuts_partition_pixels_and_nest(decoded):
     assert (coarse.groupby(fine).nunique() == 1).all()
     per = out["selected"].groupBy("wanted").agg(F.count("*").alias("n"), F.count_distinct("y", "x").alias("d")).collect()
     assert all(r.n == r.d == 4800 for r in per)
+    chains = I.boundary_chains(out["selected"].filter("wanted = 4"), ["image_id", "wanted"])
+    sides = {r.a for r in chains.collect()} | {r.b for r in chains.collect()}
+    assert sides - {-1} == set(cuts[cuts.wanted == 4].node)
 
 
 def test_sources_of_manifests_masks_and_assets(spark, tmp_path):
