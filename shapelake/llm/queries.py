@@ -57,6 +57,18 @@ m AS (
 P3_COUNTS_SQL = _P3_CTES + "SELECT field, term, occurrences, cases, mark FROM m"
 P3_SQL = _P3_CTES + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL"
 
+P3_NGRAMS_SQL = r"""
+WITH d AS (SELECT DISTINCT screen_id, failures FROM screened_cases WHERE screen_id IS NOT NULL),
+v AS (
+  SELECT screen_id, 'code' AS field, list_transform(failures, lambda x: x.code) AS s FROM d
+  UNION ALL SELECT screen_id, 'category', list_transform(failures, lambda x: x.category) FROM d
+  UNION ALL SELECT screen_id, 'stage', list_transform(failures, lambda x: x.stage) FROM d),
+t AS (SELECT screen_id, field, list_filter(list_transform(s, lambda x: regexp_replace(regexp_replace(lower(x), '^\s+|\s+$', '', 'g'), '[\s\-_]+', '_', 'g')), lambda x: x <> '') AS s FROM v),
+i AS (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM t),
+g AS (SELECT screen_id, field, n, array_to_string(list_slice(s, i, i + n - 1), ' ') AS ngram FROM i, (VALUES (1), (2), (3)) k(n) WHERE i + n - 1 <= len(s))
+SELECT field, ngram, n, count(*) AS occurrences, count(DISTINCT screen_id) AS cases FROM g GROUP BY field, ngram, n
+"""
+
 # ---- 6: encoding with a public tokenizer
 
 
@@ -125,4 +137,4 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_kept": p8_kept,
 }
-SQL = {"p3_found": P3_SQL, "p3_counts": P3_COUNTS_SQL}
+SQL = {"p3_found": P3_SQL, "p3_counts": P3_COUNTS_SQL, "p3_ngrams": P3_NGRAMS_SQL}
