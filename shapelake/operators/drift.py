@@ -84,6 +84,16 @@ def fingerprints(schemas: DataFrame) -> DataFrame:
     )
 
 
+def versions(chain: DataFrame, schemas: DataFrame) -> DataFrame:
+    """Every file with its fingerprint and version: the number of times its series' fingerprint changed up to it
+    (1 for the first). A file without a readable line has the empty fingerprint."""
+    prints = chain.join(fingerprints(schemas), "file_id", "left").fillna({"fingerprint": "", "fields": 0})
+    w = W.partitionBy("series").orderBy("file_no", "file_id")
+    moved = F.when(F.lag("fingerprint").over(w) == F.col("fingerprint"), 0).otherwise(1)
+    out = prints.withColumn("moved", moved)
+    return out.select("series", "file_no", "file_id", "fingerprint", "fields", "moved", F.sum("moved").over(w).alias("version"))
+
+
 def migration_steps(lines: DataFrame, chain: DataFrame) -> DataFrame:
     """Differences between every file and the file before it: file_id (the later), prev_id, change, field,
     new_field, old_type, new_type.
@@ -91,7 +101,8 @@ def migration_steps(lines: DataFrame, chain: DataFrame) -> DataFrame:
     'renamed': ``field`` is gone, ``new_field`` is new, types are the same, and in all cases of both files
     that hold a value of that type in both (at least one) the values are equal; every such pair comes out.
     'removed' and 'added': gone or new, not renamed. 'retyped': present in both with values of different
-    type. ``new_field`` is '' unless renamed. The first file of a series has no steps.
+    type. ``new_field`` is '' unless renamed. The first file of a series has no steps, and a file with the
+    fingerprint of the one before it is not compared.
     """
     # A column's sides are tagged and grouped by (later file, field), like two snapshots.
     schemas = materialize(file_schemas(lines).join(chain.select("file_id", "next_id"), "file_id"), "schemas")
@@ -99,7 +110,8 @@ def migration_steps(lines: DataFrame, chain: DataFrame) -> DataFrame:
     tagged = schemas.select(F.col("file_id").alias("id"), "field", "type", F.lit(True).alias("later")).unionByName(
         schemas.filter("next_id is not null").select(F.col("next_id").alias("id"), "field", "type", F.lit(False).alias("later"))
     )
-    pairs = tagged.groupBy("id", "field").agg(
+    moved = versions(chain, schemas).filter("moved = 1 and version > 1").select(F.col("file_id").alias("id"))
+    pairs = tagged.join(moved, "id", "left_semi").groupBy("id", "field").agg(
         F.max(F.when(~F.col("later"), 1)).alias("in_old"),
         F.max(F.when(F.col("later"), 1)).alias("in_new"),
         F.max(F.when(~F.col("later"), F.col("type"))).alias("old_type"),

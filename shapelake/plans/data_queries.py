@@ -170,10 +170,7 @@ SELECT series, file_no, file_id, fingerprint, fields, sum(moved) OVER (PARTITION
 def p4_versions(spark: SparkSession, folder: str) -> DataFrame:
     """Schema fingerprint of every file with its version: the count of changes of fingerprint up to it."""
     lines, chain = _drift(spark, folder)
-    prints = chain.join(drift.fingerprints(drift.file_schemas(lines)), "file_id", "left").fillna({"fingerprint": "", "fields": 0})
-    w = drift.W.partitionBy("series").orderBy("file_no", "file_id")
-    moved = F.when(F.lag("fingerprint").over(w) == F.col("fingerprint"), 0).otherwise(1)
-    return prints.withColumn("moved", moved).select("series", "file_no", "file_id", "fingerprint", "fields", F.sum("moved").over(w).alias("version"))
+    return drift.versions(chain, drift.file_schemas(lines)).drop("moved")
 
 
 def p4_table(spark: SparkSession, folder: str) -> DataFrame:
