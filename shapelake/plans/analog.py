@@ -551,6 +551,32 @@ def q_overlap_pairs(spark, folder):
     return overlaps(r, cell=8.0).select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), r6(F.col("confidence")).alias("overlap"))
 
 
+_OVERLAP = """WITH b AS ({boxes})
+    SELECT a.id AS a, b.id AS b, round(greatest(0, least(a.x + 8, b.x + 8) - greatest(a.x, b.x)) * greatest(0, least(a.y + 4, b.y + 4) - greatest(a.y, b.y)) / 32, 6) AS overlap
+    FROM b a JOIN b b ON a.k = b.k AND a.id < b.id AND abs(a.x - b.x) < 8 AND abs(a.y - b.y) < 4"""
+
+
+def _overlapping(o: DataFrame, key: str) -> DataFrame:
+    from shapelake.operators.evidence import overlaps
+
+    box = F.array(F.col("o_totalprice") / 1000, F.dayofmonth("o_orderdate").cast("double"), F.lit(8.0), F.lit(4.0))
+    r = o.select(F.col(key).alias("scene_id"), F.col("o_orderkey").alias("region_id"), box.alias("box"))
+    return overlaps(r, cell=8.0).select(F.col("source_id").alias("a"), F.col("target_id").alias("b"), r6(F.col("confidence")).alias("overlap"))
+
+
+@query(_OVERLAP.format(boxes="SELECT c_nationkey AS k, o_orderkey AS id, o_totalprice / 1000 AS x, extract(day FROM o_orderdate) AS y FROM orders JOIN customer ON o_custkey = c_custkey"))
+def q_overlap_all(spark, folder):
+    """Overlapping boxes of all orders within a nation; pairs grow with the square of a nation's orders."""
+    o = table(spark, folder, "orders").join(table(spark, folder, "customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    return _overlapping(o, "c_nationkey")
+
+
+@query(_OVERLAP.format(boxes="SELECT o_custkey AS k, o_orderkey AS id, o_totalprice / 1000 AS x, extract(day FROM o_orderdate) AS y FROM orders"))
+def q_overlap_customer(spark, folder):
+    """Overlapping boxes of all orders within a customer."""
+    return _overlapping(table(spark, folder, "orders"), "o_custkey")
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey, o_orderdate FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND l_shipdate BETWEEN o_orderdate AND o_orderdate + INTERVAL 30 DAY")
 def q_residual_join(spark, folder):
     """Equi join with a range as residual."""
