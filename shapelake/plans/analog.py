@@ -509,8 +509,21 @@ def q_palette_lookup(spark, folder):
 )
 def q_compose_join(spark, folder):
     """Three-way join with a strictness flag for what has no partner."""
+    return _composed(spark, folder, table(spark, folder, "lineitem").filter("l_quantity >= 45"))
+
+
+@query(
+    """SELECT o_orderkey, l_linenumber, l_partkey, p_brand, (c_custkey IS NULL) AS no_customer FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+    LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0"""
+)
+def q_compose_all(spark, folder):
+    """The three-way join over all line items."""
+    return _composed(spark, folder, table(spark, folder, "lineitem"))
+
+
+def _composed(spark: SparkSession, folder: str, lineitem: DataFrame) -> DataFrame:
     t = lambda n: table(spark, folder, n)
-    l = t("lineitem").filter("l_quantity >= 45").select("l_orderkey", "l_linenumber", "l_partkey")
+    l = lineitem.select("l_orderkey", "l_linenumber", "l_partkey")
     j = l.join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
     j = j.join(t("customer").filter("c_acctbal > 0").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left")
     return j.select("o_orderkey", "l_linenumber", "l_partkey", "p_brand", F.col("c_custkey").isNull().alias("no_customer"))
@@ -829,7 +842,17 @@ def q_props_json(spark, folder):
 )
 def q_components(spark, folder):
     """Connected components by least member."""
-    e = table(spark, folder, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("a"), (F.floor(F.col("o_custkey") / 3) * 2).alias("b")).distinct()
+    return _components(table(spark, folder, "orders").filter("o_totalprice > 300000"))
+
+
+@query(None)
+def q_components_all(spark, folder):
+    """Connected components of the edges of all orders (tested against brute force)."""
+    return _components(table(spark, folder, "orders"))
+
+
+def _components(orders: DataFrame) -> DataFrame:
+    e = orders.select(F.col("o_custkey").alias("a"), (F.floor(F.col("o_custkey") / 3) * 2).alias("b")).distinct()
     return graph.connected_components(e, e.select(F.explode(F.array("a", "b")).alias("v")))
 
 

@@ -1,6 +1,6 @@
 """Queries over whole tables against brute force over all rows."""
 
-from collections import defaultdict
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import duckdb
@@ -25,3 +25,27 @@ def test_overlaps_take_all_orders(spark, data, name, key):
     assert all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
     low = {i for (i,) in duckdb.sql(f"SELECT o_orderkey FROM '{data}/orders.parquet' WHERE o_totalprice < 400000").fetchall()}
     assert any(a in low and b in low for a, b in got)
+
+
+def test_composition_takes_all_line_items(spark, data):
+    rows = lambda sql: duckdb.sql(sql).fetchall()
+    orders, brands = dict(rows(f"SELECT o_orderkey, o_custkey FROM '{data}/orders.parquet'")), dict(rows(f"SELECT p_partkey, p_brand FROM '{data}/part.parquet'"))
+    known = {k for (k,) in rows(f"SELECT c_custkey FROM '{data}/customer.parquet' WHERE c_acctbal > 0")}
+    items = rows(f"SELECT l_orderkey, l_linenumber, l_partkey FROM '{data}/lineitem.parquet'")
+    want = Counter((o, n, p, brands[p], orders[o] not in known) for o, n, p in items if o in orders and p in brands)
+    assert Counter(map(tuple, entry.queries()["q_compose_all"](spark, data).collect())) == want
+
+
+def test_components_take_all_orders(spark, data):
+    root = {}
+
+    def find(v):
+        while root.setdefault(v, v) != v:
+            v = root[v]
+        return v
+
+    for (k,) in duckdb.sql(f"SELECT DISTINCT o_custkey FROM '{data}/orders.parquet'").fetchall():
+        a, b = sorted((find(k), find(k // 3 * 2)))
+        root[b] = a  # the lesser is the root
+    got = entry.queries()["q_components_all"](spark, data).collect()
+    assert len(got) == len(root) and {r.v: r.component for r in got} == {v: find(v) for v in root}
