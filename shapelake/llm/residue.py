@@ -12,6 +12,7 @@ per Python worker from the phrase lists, which are parameters of bounded size.
 from __future__ import annotations
 
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -48,7 +49,10 @@ SLOT_FORMS = [
     ("$", "$", False),
     ("%", "%", False),
     (":", ":", False),
+    ("{%", "%}", True),
 ]
+# Forms whose inside may be an expression: paths, hyphens, filters, letters of any script.
+EXPRESSIONS = {"{{", "${", "#{", "<%=", "[["}
 SLOT_TAILS = [" to be filled in)", " here]"]  # (x to be filled in), [x here]
 
 # Values no writer leaves in a finished text.
@@ -318,6 +322,9 @@ COVERAGE = 0.85
 
 _SPACES = re.compile(r"[^\S\n]+")
 _NAME = re.compile(r"[a-z0-9_]+(?: [a-z0-9_]+){0,4}")
+_PATH = r"(?!\d)\w+(?:[.\-]\w+|\[\w+\])*"
+_EXPRESSION = re.compile(rf"[-$@.]? ?{_PATH}(?: {_PATH}){{0,4}}(?:\(\))?(?: ?\| ?{_PATH}(?: ?[:(][^\n{{}}|]*)?)* ?-?")
+_STATEMENT = re.compile(r"-? ?/?(?!\d)\w+(?: [^\n{}%]*)?-?")
 _LETTER_RUN = re.compile(r"[^\W\d_]+")
 _HEX = re.compile(r"(?<![0-9a-z])(?=[0-9a-f]*\d)[0-9a-f]{4,64}(?![0-9a-z])")
 _WORD = re.compile(r"[^\W_]+")
@@ -424,12 +431,14 @@ class Detector:
         if not plain and at and (t[at - 1] in "{$#<%[«:" or (opening in ":%$" and (t[at - 1].isalnum() or t[at - 1] == opening))):
             return None
         start = at + len(opening)
-        end = t.find(closing, start, start + 60)
+        end = t.find(closing, start, start + (120 if opening in EXPRESSIONS or opening == "{%" else 60))
         if end < 0:
             return None
         name = t[start:end].strip()
         if not _NAME.fullmatch(name):
-            return None
+            inside = "".join(c for c in name if unicodedata.category(c)[0] != "M")  # vowel signs are no word characters
+            if not (_EXPRESSION if opening in EXPRESSIONS else _STATEMENT if opening == "{%" else _NAME).fullmatch(inside):
+                return None
         if not plain:
             key = name.replace(" ", "_")
             if key not in self._names and "_" not in name and not (opening == "{" and key.isdigit()):
@@ -465,7 +474,7 @@ class Detector:
                 if slot and not spoken_of(slot[0], slot[1]):
                     if SLOT_FORMS[k][0] in ("${", "%"):
                         assigned = set(_ASSIGNED.findall(t)) if assigned is None else assigned
-                        if slot[2] in assigned:
+                        if slot[2] in assigned or slot[2].split("-")[0] in assigned:  # ${name-default}
                             continue
                     return a, b
             elif kind == "tail":

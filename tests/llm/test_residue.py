@@ -104,3 +104,17 @@ def test_table_with_clashes_repeats_and_nulls(spark):
     got = [r.doc_id for r in residue.flag_residue(df).collect()]
     assert sorted(g for g in got if g is not None) == sorted([*range(len(FOUND)), 0]) and got.count(None) == 1
     assert residue.flag_residue(df.filter("false")).count() == 0
+
+
+OPEN_EXPRESSIONS = ["Hello {{ user.name }},", "Title: {{ name | upper }}", "Case {{case-id}} is kept", "Kunde: {{größe}}", "担当: ${担当者}", "{{ नाम }} ok", "Stage: <%= run.stage %>", "Sum #{a.b}", "See [[case-name]]", "Total {{ items[0].price | default: '0' | round(2) }}", "{% if user.name == 'x' %}yes", "Rows: {%- for x in rows -%}"]
+NO_EXPRESSIONS = ["Matrix [[0.5 0.2]] and [[1.5, 2]]", "The template test renders {{ user.name }} with an empty record.", "Run `{% if x %}` first.", "set OUT=a\nuse ${OUT-b} here", "A gain of {5% to 6%} was seen."]
+
+
+@pytest.mark.parametrize("text", OPEN_EXPRESSIONS)
+def test_open_expressions_are_found(text):
+    assert residue.Detector().kind(text) == "residue"
+
+
+@pytest.mark.parametrize("text", NO_EXPRESSIONS)
+def test_no_expressions(text):
+    assert residue.Detector().kind(text) is None
