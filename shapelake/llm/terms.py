@@ -39,14 +39,20 @@ _NAMELESS = -(2**63)
 
 
 def _once(ids: np.ndarray, deliveries: np.ndarray) -> int:
-    """Occurrences, those of a record taken from its delivery that has most."""
+    """Occurrences, those of a record taken from its delivery that has most; rows without an id all count."""
+    named = ids != _NAMELESS
+    nameless = len(ids) - int(named.sum())
+    if nameless:
+        ids, deliveries = ids[named], deliveries[named]
+        if not len(ids):
+            return nameless
     order = np.lexsort((deliveries, ids))
     i, d = ids[order], deliveries[order]
     edge = np.r_[True, (i[1:] != i[:-1]) | (d[1:] != d[:-1])]
     at = np.flatnonzero(edge)
     n = np.diff(np.r_[at, len(i)])
     record = np.r_[True, i[at][1:] != i[at][:-1]]
-    return int(np.maximum.reduceat(n, np.flatnonzero(record)).sum())
+    return nameless + int(np.maximum.reduceat(n, np.flatnonzero(record)).sum())
 
 
 class _Counter:

@@ -64,3 +64,11 @@ def test_marks_and_empty_table(spark):
     assert got == {"often": (9, 9, "common"), "seldom": (3, 2, "rare")}
     none = df.filter("false")
     assert terms.mark_terms(terms.ngram_frequency(none, "id", {"f": F.col("s")}), none, "id").count() == 0
+
+
+@pytest.mark.parametrize("buckets", [1, 4])
+def test_rows_without_id_all_count_with_deliveries(spark, buckets):
+    rows = [(None, d, ["a", "b"]) for d in range(100)] + [(None, 7, ["a"])] * 3 + [(1, d, ["a", "b"]) for d in range(5)] + [(2, 0, ["b"])]
+    df = spark.createDataFrame(rows, "id bigint, d int, s array<string>")
+    got = {tuple(r.term): (r.occurrences, r.records) for r in terms.ngram_frequency(df, "id", {"f": F.col("s")}, 2, delivery=F.col("d"), buckets=buckets).collect()}
+    assert got == {("a",): (104, 1), ("b",): (102, 2), ("a", "b"): (101, 1)}
