@@ -47,14 +47,16 @@ def connected_components(edges: DataFrame, vertices: DataFrame | None = None, ro
     return out
 
 
-def levels(edges: DataFrame, vertices: DataFrame, most: int = 10_000) -> DataFrame:
+def levels(edges: DataFrame, vertices: DataFrame, together: int = 50) -> DataFrame:
     """Level of every vertex of a directed graph (edges a -> b): the longest path into it; vertices on a cycle,
-    or after one, get null. Works level by level (Kahn), each level one anti-join."""
-    left = materialize(vertices.select("v").distinct(), "levels")
+    or after one, get null; a null is no vertex. Works level by level (Kahn), each level one anti-join, until no
+    vertex is ready; the levels so far are written together after every ``together``, so plans stay short
+    however deep the graph."""
+    left = materialize(vertices.filter("v is not null").select("v").distinct(), "levels")
     open_ = materialize(edges.select("a", "b").filter("a != b").distinct(), "levels")
     loops = edges.filter("a = b").select(F.col("a").alias("v"))
     out, depth = None, 0
-    while depth < most:
+    while True:
         ready = left.join(open_.select(F.col("b").alias("v")), "v", "left_anti").join(loops, "v", "left_anti")
         ready = materialize(ready, "levels")
         if not ready.take(1):
@@ -64,6 +66,8 @@ def levels(edges: DataFrame, vertices: DataFrame, most: int = 10_000) -> DataFra
         left = materialize(left.join(ready, "v", "left_anti"), "levels")
         open_ = materialize(open_.join(ready.withColumnRenamed("v", "a"), "a", "left_anti"), "levels")
         depth += 1
+        if depth % together == 0:
+            out = materialize(out, "levels")
     rest = left.select("v", F.lit(None).cast("int").alias("level"))
     return rest if out is None else out.unionByName(rest)
 

@@ -25,18 +25,23 @@ def _edges(a: DataFrame) -> DataFrame:
     return e.select(F.struct("run_id", F.col("parent").alias("artifact_id")).alias("a"), F.struct("run_id", "artifact_id").alias("b"))
 
 
-def tainted(artifacts: DataFrame, rounds: int = 1000) -> DataFrame:
+def tainted(artifacts: DataFrame, together: int = 50) -> DataFrame:
     """Artifacts of forbidden origin and all that descend from them (run_id, artifact_id): a frontier that moves
-    along the edges until it meets nothing new, one join a step."""
+    along the edges until it meets nothing new, one join a step. What was seen is written together after every
+    ``together`` steps, so plans stay short however deep the lineage."""
     edges = materialize(_edges(artifacts).distinct(), "lineage")
     bad = artifacts.filter(F.lower("origin").isin(FORBIDDEN) | F.col("origin").isNull())
     seen = front = materialize(_nodes(bad).distinct(), "tainted")
-    for _ in range(rounds):
+    step = 0
+    while True:
         nxt = edges.join(front.withColumnRenamed("v", "a"), "a").select(F.col("b").alias("v")).distinct()
         front = materialize(nxt.join(seen, "v", "left_anti"), "tainted")
         if not front.take(1):
             break
         seen = seen.unionByName(front)
+        step += 1
+        if step % together == 0:
+            seen = materialize(seen, "tainted")
     return seen.select("v.run_id", "v.artifact_id").distinct()
 
 
