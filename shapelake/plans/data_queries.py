@@ -47,23 +47,34 @@ WHERE a.k IS NULL OR b.k IS NULL OR a.d <> b.d OR a.p <> b.p
 
 # ---- 2: deeply nested semi-structured records
 
-BATCH_TREE = (
-    nested.Node(
-        "screened_case",
-        ("screened_cases",),
-        "case_id string, source_kind string, admitted boolean",
-        (
-            nested.Node("failure", ("failures",), "category string, stage string, code string, detail string, value string, limit string"),
-            nested.Node("face", ("details", "identity_features", "face"), "status string, value string, reason string"),
-            nested.Node("binding", ("adopted_baseline", "binding"), "adoption_transaction_id string, baseline_artifact_id string, binding_passed boolean"),
+BATCH_TREE = nested.Node(
+    "record",
+    (),
+    "artifact_version string, screened_case_count string",
+    (
+        nested.Node(
+            "screened_case",
+            ("screened_cases",),
+            "case_id string, source_kind string, admitted string",
+            (
+                nested.Node("failure", ("failures",), "category string, stage string, code string, detail string, value string, limit string"),
+                nested.Node("details", ("details",), "", (nested.Node("identity_features", ("identity_features",), "", (nested.Node("face", ("face",), "status string, value string, reason string"),)),)),
+                nested.Node(
+                    "adopted_baseline",
+                    ("adopted_baseline",),
+                    "bound string, status string, reason string",
+                    (nested.Node("binding", ("binding",), "adoption_transaction_id string, baseline_artifact_id string, binding_passed string"),),
+                ),
+            ),
         ),
     ),
 )
 
 
-def batch_tables(spark: SparkSession, folder: str) -> nested.FlatTables:
-    """The flat tables of raw_records, written once to the shared folder."""
-    emission = nested.emit_tagged(table(spark, folder, "raw_records"), "record_id", "payload", BATCH_TREE)
+def batch_tables(spark: SparkSession, folder: str, only: tuple[str, ...] | None = None) -> nested.FlatTables:
+    """The flat tables of raw_records, all or those named, written once to the shared folder. Deliveries of a
+    record that carry the same payload are one."""
+    emission = nested.emit_tagged(table(spark, folder, "raw_records"), "record_id", "payload", BATCH_TREE, only=only)
     return nested.FlatTables.write(emission, BATCH_TREE)
 
 
@@ -75,16 +86,28 @@ def millionths(value):
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Failures with a code, face scores and bound baseline artifacts of every screened case, by place."""
-    flat = batch_tables(spark, folder)
-    parts = (("failure", "failure", F.col("code")), ("face", "face", millionths(F.col("value"))), ("binding", "binding", F.col("baseline_artifact_id")))
+    parts = (("failure", F.col("ords")[1], F.col("code")), ("face", F.lit(0), millionths(F.col("value"))), ("binding", F.col("ords")[2], F.col("baseline_artifact_id")))
+    flat = batch_tables(spark, folder, tuple(tag for tag, _, _ in parts))
     out = None
-    for tag, item, content in parts:
-        pos = F.lit(0) if tag == "face" else F.col("ords")[1]
-        rows = flat.table(tag).select("record_id", F.col("ords")[0].alias("case_pos"), F.lit(item).alias("item"), pos.alias("item_pos"), content.alias("content"))
+    for tag, pos, content in parts:
+        rows = flat.rows(tag).select("record_id", F.col("ords")[0].alias("case_pos"), F.lit(tag).alias("item"), pos.alias("item_pos"), content.alias("content"))
         out = rows if out is None else out.unionByName(rows)
     return out.filter("content is not null").distinct()
 
 
+def p2_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Every row of every flat table with its keys, one telling field, and the names of what it keeps besides."""
+    telling = {"record": "artifact_version", "screened_case": "case_id", "failure": "code", "adopted_baseline": "status", "binding": "baseline_artifact_id"}
+    flat = batch_tables(spark, folder)
+    out = None
+    for tag in flat.nodes:
+        content = F.col(telling[tag]) if tag in telling else millionths(F.col("value")) if tag == "face" else F.lit(None).cast("string")
+        kept = F.array_join(F.array_sort(F.json_object_keys("rest")), ",")
+        rows = flat.table(tag).select(F.lit(tag).alias("tag"), "record_id", "pk", "parent_pk", content.alias("content"), F.coalesce(kept, F.lit("")).alias("kept"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def _unwrapped(x: str) -> str:
     """SQL: text that holds JSON stands for that JSON, once."""
     return f"CASE WHEN json_type({x}) = 'VARCHAR' AND left(ltrim({x}->>'$'), 1) IN ('{{', '[', '\"') AND json_valid({x}->>'$') THEN ({x}->>'$')::JSON ELSE {x} END"
@@ -117,6 +140,59 @@ u AS (
 SELECT DISTINCT record_id, case_pos::INT AS case_pos, item, item_pos::INT AS item_pos, content FROM u WHERE content IS NOT NULL
 """
 
+
+
+def _kept(x: str, declared: str, parts: str) -> str:
+    """SQL: names of the fields of an object that are neither declared nor rows of a child table, sorted."""
+    return (
+        f"CASE json_type({x}) WHEN 'OBJECT' THEN array_to_string(list_sort(list_filter(json_keys({x}), lambda k: NOT list_contains([{declared}], k)"
+        f" AND NOT (list_contains([{parts}], k) AND coalesce({_gives_rows(f'json_extract({x}, k)')}, false)))), ',') ELSE '' END"
+    )
+
+
+def _gives_rows(x: str) -> str:
+    """SQL: whether a part gives its child table a row: not null, and no list of only nulls."""
+    y = _unwrapped(x)
+    return f"CASE json_type({y}) WHEN 'NULL' THEN false WHEN 'ARRAY' THEN len(list_filter(({y})::JSON[], lambda e: json_type(e) <> 'NULL')) > 0 ELSE true END"
+
+
+P2_TABLES_SQL = f"""
+WITH p AS (SELECT DISTINCT record_id, record_id || '@' || left(md5(payload), 16) AS pk, payload::JSON AS v FROM raw_records WHERE json_valid(payload) AND record_id IS NOT NULL),
+r AS (SELECT record_id, pk, {_unwrapped('v')} AS v FROM p),
+r1 AS (SELECT * FROM r WHERE json_type(v) = 'OBJECT'),
+sl AS (SELECT record_id, pk, {_many('v')} AS v FROM (SELECT record_id, pk, {_unwrapped("(v->'$.screened_cases')")} AS v FROM r1)),
+c0 AS (SELECT record_id, pk, v, unnest(range(json_array_length(v)::BIGINT)) AS i FROM sl WHERE v IS NOT NULL),
+c1 AS (SELECT record_id, pk, i, json_extract(v, '$[' || i || ']') AS v FROM c0),
+c AS (SELECT record_id, pk || '/screened_case:' || i AS pk, pk AS parent_pk, {_unwrapped('v')} AS v FROM c1 WHERE json_type(v) <> 'NULL'),
+part AS (
+  SELECT 'failure' AS tag, record_id, pk AS parent_pk, {_unwrapped("(v->'$.failures')")} AS v FROM c WHERE json_type(v) = 'OBJECT'
+  UNION ALL SELECT 'details', record_id, pk, {_unwrapped("(v->'$.details')")} FROM c WHERE json_type(v) = 'OBJECT'
+  UNION ALL SELECT 'adopted_baseline', record_id, pk, {_unwrapped("(v->'$.adopted_baseline')")} FROM c WHERE json_type(v) = 'OBJECT'),
+l0 AS (SELECT tag, record_id, parent_pk, {_many('v')} AS v FROM part),
+l1 AS (SELECT tag, record_id, parent_pk, v, unnest(range(json_array_length(v)::BIGINT)) AS i FROM l0 WHERE v IS NOT NULL),
+l2 AS (SELECT tag, record_id, parent_pk, parent_pk || '/' || tag || ':' || i AS pk, json_extract(v, '$[' || i || ']') AS v FROM l1),
+l AS (SELECT tag, record_id, parent_pk, pk, {_unwrapped('v')} AS v FROM l2 WHERE json_type(v) <> 'NULL'),
+part2 AS (
+  SELECT 'identity_features' AS tag, record_id, pk AS parent_pk, {_unwrapped("(v->'$.identity_features')")} AS v FROM l WHERE tag = 'details' AND json_type(v) = 'OBJECT'
+  UNION ALL SELECT 'binding', record_id, pk, {_unwrapped("(v->'$.binding')")} FROM l WHERE tag = 'adopted_baseline' AND json_type(v) = 'OBJECT'),
+m0 AS (SELECT tag, record_id, parent_pk, {_many('v')} AS v FROM part2),
+m1 AS (SELECT tag, record_id, parent_pk, v, unnest(range(json_array_length(v)::BIGINT)) AS i FROM m0 WHERE v IS NOT NULL),
+m2 AS (SELECT tag, record_id, parent_pk, parent_pk || '/' || tag || ':' || i AS pk, json_extract(v, '$[' || i || ']') AS v FROM m1),
+m AS (SELECT tag, record_id, parent_pk, pk, {_unwrapped('v')} AS v FROM m2 WHERE json_type(v) <> 'NULL'),
+f0 AS (SELECT record_id, pk AS parent_pk, {_many('v')} AS v FROM (SELECT record_id, pk, {_unwrapped("(v->'$.face')")} AS v FROM m WHERE tag = 'identity_features' AND json_type(v) = 'OBJECT')),
+f1 AS (SELECT record_id, parent_pk, v, unnest(range(json_array_length(v)::BIGINT)) AS i FROM f0 WHERE v IS NOT NULL),
+f2 AS (SELECT record_id, parent_pk, parent_pk || '/face:' || i AS pk, json_extract(v, '$[' || i || ']') AS v FROM f1),
+f AS (SELECT record_id, parent_pk, pk, {_unwrapped('v')} AS v FROM f2 WHERE json_type(v) <> 'NULL')
+SELECT 'record' AS tag, record_id, pk, NULL AS parent_pk, v->>'$.artifact_version' AS content, {_kept('v', "'artifact_version', 'screened_case_count'", "'screened_cases'")} AS kept FROM r1
+UNION ALL SELECT 'screened_case', record_id, pk, parent_pk, v->>'$.case_id', {_kept('v', "'case_id', 'source_kind', 'admitted'", "'failures', 'details', 'adopted_baseline'")} FROM c
+UNION ALL SELECT tag, record_id, pk, parent_pk, v->>'$.code', {_kept('v', "'category', 'stage', 'code', 'detail', 'value', 'limit'", "''")} FROM l WHERE tag = 'failure'
+UNION ALL SELECT tag, record_id, pk, parent_pk, NULL, {_kept('v', "''", "'identity_features'")} FROM l WHERE tag = 'details'
+UNION ALL SELECT tag, record_id, pk, parent_pk, v->>'$.status', {_kept('v', "'bound', 'status', 'reason'", "'binding'")} FROM l WHERE tag = 'adopted_baseline'
+UNION ALL SELECT tag, record_id, pk, parent_pk, NULL, {_kept('v', "''", "'face'")} FROM m WHERE tag = 'identity_features'
+UNION ALL SELECT tag, record_id, pk, parent_pk, v->>'$.baseline_artifact_id', {_kept('v', "'adoption_transaction_id', 'baseline_artifact_id', 'binding_passed'", "''")} FROM m WHERE tag = 'binding'
+UNION ALL SELECT 'face', record_id, pk, parent_pk, round(try_cast(CASE json_type(v) WHEN 'OBJECT' THEN v->>'$.value' WHEN 'BOOLEAN' THEN NULL ELSE v->>'$' END AS DOUBLE) * 1000000)::BIGINT::VARCHAR, {_kept('v', "'status', 'value', 'reason'", "''")} FROM f
+"""
+
 # ---- 4: schemas that drift between files
 
 
@@ -312,10 +388,11 @@ P5_PERIOD_SQL = _P5_CTES + "SELECT tbl, ref_field, period, kind, count(*) AS n F
 QUERIES = {
     "p1_found": p1_found,
     "p2_found": p2_found,
+    "p2_tables": p2_tables,
     "p4_found": p4_found,
     "p4_versions": p4_versions,
     "p4_table": p4_table,
     "p5_found": p5_found,
     "p5_by_period": p5_by_period,
 }
-SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p4_found": P4_SQL, "p4_versions": P4_VERSIONS_SQL, "p5_found": P5_SQL, "p5_by_period": P5_PERIOD_SQL}
+SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_tables": P2_TABLES_SQL, "p4_found": P4_SQL, "p4_versions": P4_VERSIONS_SQL, "p5_found": P5_SQL, "p5_by_period": P5_PERIOD_SQL}
