@@ -6,11 +6,14 @@ references are probed against them by vectorised binary search; the misses come
 The range of a key is a range of its 64-bit digest: ranges of equal width hold equally many distinct keys,
 so no bounds need to be sampled, and equality of the keys themselves is checked at the probe.
 
-One key may hold a third of all rows, on either side. A range with more intervals than a parameter is cut
-into slices of time: a slice holds the intervals that begin in it and, per key, what the earlier slices leave
-(whether any began, and the latest end), so it answers for its times alone. A slice with more references than
-a parameter is split by a salt of the row; its parents go to every split, its references to one. References
-are streamed, never gathered.
+The number of ranges follows from the number of parents and references, so a range stays small at any scale.
+
+One key may hold a third of all rows, on either side. Counts per coarse range of the digest tell where such a
+key can be; only there keys are counted. A key with more intervals or references than a parameter has parts of
+its own: its intervals are cut into slices of time, a slice holding those that begin in it and what the earlier
+slices leave (whether any began, and the latest end), so it answers for its times alone; a slice with more
+references than a parameter is split by a salt of the row, and the slice's intervals go to every split. Keys
+that are not hot are never copied, so rows stay linear in the input. References are streamed, never gathered.
 """
 
 from __future__ import annotations
@@ -137,35 +140,50 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _sliced(p: DataFrame, per_slice: int) -> tuple[DataFrame, DataFrame]:
-    """Parents (k, t, e, h, rng) with their slice, and the cut ranges (rng, slices, t0, width).
+def _range_of(h: Column, n: int) -> Column:
+    """Which of ``n`` equal ranges of the 64-bit digests holds ``h``."""
+    return F.least(F.floor((h.cast("double") / F.lit(2.0**64) + F.lit(0.5)) * F.lit(n)), F.lit(n - 1)).cast("bigint")
 
-    For a cut range every slice gets a row per key of the range that says the key occurs (it begins never), and
-    one with the latest end of all earlier slices (it began before all times). The running maximum goes over a
-    key's slices, whose number a range's size bounds, not over its intervals.
-    """
-    began = F.when(F.col("t") < _FAR, F.col("t"))
-    cut = p.groupBy("rng").agg(F.count("*").alias("n"), F.min(began).alias("t0"), F.max(began).alias("t1")).filter((F.col("n") > per_slice) & F.col("t0").isNotNull())
-    # At most one row per range: a size set by the number of ranges, whatever the data.
-    cut = materialize(cut.select("rng", F.ceil(F.col("n") / per_slice).cast("int").alias("slices"), "t0", F.ceil((F.col("t1") - F.col("t0") + 1) / F.ceil(F.col("n") / per_slice)).cast("bigint").alias("width")), "cut")
-    if not cut.take(1):
-        return p.withColumn("slice", F.lit(0)), cut
-    d = p.join(F.broadcast(cut), "rng", "left").withColumn("slice", slice_of("t"))
-    key = d.filter("slices is not null").groupBy("rng", "h", "k", "slices", "slice").agg(F.max(F.when(F.col("t") < _FAR, F.col("e"))).alias("m"))
-    w = W.partitionBy("rng", "k").orderBy("slice")
-    runs = key.withColumns({"top": F.max("m").over(w.rowsBetween(W.unboundedPreceding, 0)), "next": F.coalesce(F.lead("slice").over(w), F.col("slices") - 1)})
-    carry = runs.filter("top is not null and next > slice").select("k", F.lit(_NULL_TIME).alias("t"), F.col("top").alias("e"), "h", "rng", F.explode(F.sequence(F.col("slice") + 1, "next")).alias("slice"))
-    known = key.select("rng", "h", "k", "slices").distinct().select("k", F.lit(_FAR).alias("t"), F.lit(_FAR).alias("e"), "h", "rng", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"))
-    return d.select("k", "t", "e", "h", "rng", "slice").unionByName(carry).unionByName(known), cut
+
+def _coarse_counts(df: DataFrame) -> dict[int, int]:
+    """Rows per coarse range of the digest: 4096 numbers at most, whatever the data."""
+    coarse = F.shiftright("h", 52).alias("c")
+    return {r["c"]: r["n"] for r in df.groupBy(coarse).agg(F.count("*").alias("n")).collect()}
+
+
+def _hot_keys(df: DataFrame, counts: dict[int, int], most: int, *aggregates: Column) -> DataFrame:
+    """Keys with more than ``most`` rows. Only coarse ranges with as many rows are counted by key; there are at
+    most rows / ``most`` such keys."""
+    heavy = [c for c, n in counts.items() if n > most]
+    keys = df.filter(F.shiftright("h", 52).isin(heavy)) if heavy else df.filter("false")
+    return keys.groupBy("k").agg(F.count("*").alias("n"), *aggregates).filter(F.col("n") > most)
 
 
 def slice_of(t: str) -> Column:
-    """The slice of a time in a cut range, 0 in others."""
+    """The slice, from 1, of a time of a hot key; 0 for others."""
     at = F.floor((F.greatest(F.least(F.col(t), F.col("t0") + F.col("width") * F.col("slices")), F.col("t0")) - F.col("t0")) / F.col("width"))
-    return F.coalesce(F.least(at, F.col("slices") - 1), F.lit(0)).cast("int")
+    return F.when(F.col("slices").isNull(), 0).otherwise(F.coalesce(F.least(at, F.col("slices") - 1), F.lit(0)) + 1).cast("int")
 
 
-def orphan_references(parents: DataFrame, refs: DataFrame, ranges: int | None = None, refs_per_split: int = 2_000_000, parents_per_slice: int = 1_000_000) -> DataFrame:
+def _sliced(p: DataFrame, hot: DataFrame) -> DataFrame:
+    """Intervals of hot keys (k, t, e, h, slices, t0, width) by slice, with what earlier slices leave.
+
+    Every slice of a key that has several gets a row that says the key occurs (it begins never), and one with
+    the latest end of all earlier slices (it began before all times). The running maximum goes over a key's
+    slices; rows added are two per slice, and a slice stands for ``parents_per_slice`` intervals.
+    """
+    d = p.join(hot, "k").withColumn("slice", slice_of("t"))
+    key = d.groupBy("h", "k", "slices", "slice").agg(F.max(F.when(F.col("t") < _FAR, F.col("e"))).alias("m"))
+    w = W.partitionBy("k").orderBy("slice")
+    runs = key.withColumns({"top": F.max("m").over(w.rowsBetween(W.unboundedPreceding, 0)), "next": F.coalesce(F.lead("slice").over(w), F.col("slices"))})
+    carry = runs.filter("top is not null and next > slice").select("k", F.lit(_NULL_TIME).alias("t"), F.col("top").alias("e"), "h", F.explode(F.sequence(F.col("slice") + 1, "next")).alias("slice"))
+    known = key.select("h", "k", "slices").distinct().select("k", F.lit(_FAR).alias("t"), F.lit(_FAR).alias("e"), "h", F.explode(F.sequence(F.lit(1), "slices")).alias("slice"))
+    return d.select("k", "t", "e", "h", "slice").unionByName(carry).unionByName(known)
+
+
+def orphan_references(
+    parents: DataFrame, refs: DataFrame, ranges: int | None = None, refs_per_split: int = 2_000_000, parents_per_slice: int = 1_000_000, parents_per_range: int = 250_000
+) -> DataFrame:
     """References whose key does not live at their time.
 
     ``parents``: ``k`` (text: kind of key and key), ``s`` and ``e`` (microseconds; live from s up to, not
@@ -176,14 +194,13 @@ def orphan_references(parents: DataFrame, refs: DataFrame, ranges: int | None =
     Defined cases: null keys and blank ones are no references and no parents (callers turn blank to null);
     a null time can't be judged against intervals, so only a missing key is reported; without parents
     every reference is missing; of several rows of a row_id and ref_field that miss, the one received last
-    is given. ``ranges`` cuts the digest space (default: four per shuffle partition); ``parents_per_slice``
-    and ``refs_per_split`` bound what one task holds and probes, not what is probed.
+    is given. ``ranges`` cuts the digest space (default: four per shuffle partition, and more until a range has
+    at most ``parents_per_range`` parents and ``refs_per_split`` references on average). A key with more than
+    ``parents_per_slice`` intervals or ``refs_per_split`` references is hot and gets parts of that size. The
+    parameters bound what one task holds and probes, not what is probed.
     """
     spark = refs.sparkSession
-    n = ranges or 4 * shuffle_partitions(spark)
-    width = 2**64 // n + 1
     h = F.xxhash64("k")
-    rng = F.expr(f"cast((cast(h as decimal(20,0)) + 9223372036854775808) div {width} as int)")
     # Equal (key, start) intervals collapse before the shuffle; the longest says all of them.
     p = (
         parents.filter("k is not null")
@@ -191,42 +208,43 @@ def orphan_references(parents: DataFrame, refs: DataFrame, ranges: int | None =
         .groupBy("k", "t")
         .agg(F.max("e").alias("e"))
         .withColumn("h", h)
-        .withColumn("rng", rng)
-    )
-    p, cut = _sliced(materialize(p, "parents"), parents_per_slice)
-    r = refs.filter("k is not null").withColumn("h", h).withColumn("rng", rng).withColumn("t", F.coalesce("t", F.lit(_NULL_TIME)))
-    r = r.join(F.broadcast(cut), "rng", "left").withColumn("slice", slice_of("t")).drop("slices", "t0", "width")
-    # One row per part that is split: their number is bound by the references over refs_per_split.
-    splits = r.groupBy("rng", "slice").agg(F.count("*").alias("c")).select("rng", "slice", F.ceil(F.col("c") / refs_per_split).cast("int").alias("splits")).filter("splits > 1")
-    splits = F.broadcast(materialize(splits, "splits"))
-    p = p.join(splits, ["rng", "slice"], "left").select(
-        "rng",
-        "slice",
-        F.explode(F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1)).alias("sub"),
-        F.lit(False).alias("is_ref"),
-        "h",
-        "k",
-        "t",
-        "e",
-        *[F.lit(None).cast(x).alias(c) for c, x in (("tbl", "string"), ("ref_field", "string"), ("row_id", "bigint"), ("period", "string"), ("received", "bigint"))],
-    )
-    r = r.join(splits, ["rng", "slice"], "left").select(
-        "rng",
-        "slice",
-        F.when(F.col("splits") > 1, F.pmod(F.xxhash64("tbl", "row_id"), F.col("splits"))).otherwise(0).cast("int").alias("sub"),
-        F.lit(True).alias("is_ref"),
-        "h",
-        "k",
-        "t",
-        F.lit(0).cast("bigint").alias("e"),
-        "tbl",
-        "ref_field",
-        "row_id",
-        "period",
-        "received",
     )
-    packed = p.unionByName(r).repartition("rng", "slice", "sub").sortWithinPartitions("rng", "slice", "sub", "is_ref", "h", "k", "t")
-    return packed.mapInArrow(_probe, _OUT).filter("period is not null or kind = 'missing'")
+    p = materialize(p, "parents")
+    r = refs.filter("k is not null").withColumn("h", h).withColumn("t", F.coalesce("t", F.lit(_NULL_TIME)))
+    n_parents, n_refs = _coarse_counts(p), _coarse_counts(r)
+    n = ranges or max(4 * shuffle_partitions(spark), -(-sum(n_parents.values()) // parents_per_range), -(-sum(n_refs.values()) // refs_per_split))
+    rng = _range_of(F.col("h"), n)
+    parent_columns = [F.lit(False).alias("is_ref"), "h", "k", "t", "e"] + [F.lit(None).cast(x).alias(c) for c, x in (("tbl", "string"), ("ref_field", "string"), ("row_id", "bigint"), ("period", "string"), ("received", "bigint"))]
+    ref_columns = [F.lit(True).alias("is_ref"), "h", "k", "t", F.lit(0).cast("bigint").alias("e"), "tbl", "ref_field", "row_id", "period", "received"]
+    cold = [rng.alias("rng"), F.lit(0).alias("slice"), F.lit(0).alias("sub")]
+
+    hot = None
+    if max(n_parents.values(), default=0) > parents_per_slice or max(n_refs.values(), default=0) > refs_per_split:
+        began = F.when(F.col("t") < _FAR, F.col("t"))
+        many = _hot_keys(p, n_parents, parents_per_slice, F.min(began).alias("t0"), F.max(began).alias("t1"))
+        slices = F.when(F.col("t0").isNull(), 1).otherwise(F.ceil(F.col("n") / parents_per_slice))
+        many = many.select("k", slices.cast("int").alias("slices"), F.coalesce("t0", F.lit(0)).alias("t0"), F.coalesce(F.ceil((F.col("t1") - F.col("t0") + 1) / slices), F.lit(1)).cast("bigint").alias("width"))
+        asked = _hot_keys(r, n_refs, refs_per_split).select("k", F.lit(1).alias("slices"), F.lit(0).cast("bigint").alias("t0"), F.lit(1).cast("bigint").alias("width"))
+        hot = materialize(many.unionByName(asked.join(many.select("k"), "k", "left_anti")), "hot")
+        hot = hot if hot.take(1) else None
+    if hot is None:
+        return _probed(p.select(*cold, *parent_columns).unionByName(r.select(*cold, *ref_columns)))
+
+    # A hot key's parts are named by its digest; Spark broadcasts the hot keys while they are under its size limit.
+    rs = r.join(hot, "k", "left").withColumn("slice", slice_of("t")).withColumn("rng", F.when(F.col("slice") == 0, rng).otherwise(F.col("h")))
+    splits = rs.filter("slice > 0").groupBy("rng", "slice").agg(F.ceil(F.count("*") / refs_per_split).cast("int").alias("splits")).filter("splits > 1")
+    splits = materialize(splits, "splits")
+    few = p.join(hot.select("k"), "k", "left_anti").select(*cold, *parent_columns)
+    own = _sliced(p, hot).withColumn("rng", F.col("h")).join(splits, ["rng", "slice"], "left")
+    own = own.select("rng", "slice", F.explode(F.sequence(F.lit(0), F.coalesce("splits", F.lit(1)) - 1)).alias("sub"), *parent_columns)
+    salt = F.when(F.col("splits") > 1, F.pmod(F.xxhash64("tbl", "row_id", "received"), F.col("splits"))).otherwise(0).cast("int")
+    rs = rs.join(splits, ["rng", "slice"], "left").select("rng", "slice", salt.alias("sub"), *ref_columns)
+    return _probed(few.unionByName(own).unionByName(rs))
+
+
+def _probed(packed: DataFrame) -> DataFrame:
+    parts = packed.repartition("rng", "slice", "sub").sortWithinPartitions("rng", "slice", "sub", "is_ref", "h", "k", "t")
+    return parts.mapInArrow(_probe, _OUT).filter("period is not null or kind = 'missing'")
 
 
 def one_per_reference(misses: DataFrame) -> DataFrame:

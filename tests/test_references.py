@@ -37,7 +37,7 @@ def test_random_intervals_match_brute_force(spark, split, cut):
     keys = [f"adoption:{i}" for i in range(40)] + ["path:ü", "path: "]
     parents = [(rnd.choice(keys[:30] + ["adoption:0"] * 30), rnd.choice([None, rnd.randint(0, 50), 7]), rnd.choice([None, rnd.randint(0, 60), 7])) for _ in range(150)]
     refs = [(rnd.choice(keys + ["adoption:0"] * 20 + [None]), rnd.randint(-2, 60), rnd.choice("ab"), "f", i // 2, f"2025-{i % 12 + 1:02d}", rnd.randint(0, 3)) for i in range(600)]
-    assert run(spark, parents, refs, ranges=5, refs_per_split=split, parents_per_slice=cut) == brute(parents, refs)
+    assert run(spark, parents, refs, ranges=5 if split < 10 else None, parents_per_range=20, refs_per_split=split, parents_per_slice=cut) == brute(parents, refs)
 
 
 def test_bounds_of_an_interval(spark):
@@ -60,3 +60,19 @@ def test_keys_with_equal_digests_are_told_apart():
     r = references._Range(np.array([1, 1, 1, 9]), ["a", "a", "b", "c"], np.array([1, 5, 3, 1]), np.array([2, 9, 4, 2]))
     kind = r.probe(np.array([1, 1, 1, 1, 9, 5]), np.array(["a", "b", "b", "x", "c", "z"], object), np.array([6, 3, 4, 3, 0, 0]))
     assert kind.tolist() == [0, 0, 2, 1, 3, 1]
+
+
+def test_only_hot_keys_are_copied_so_rows_stay_linear(spark, monkeypatch):
+    packed = []
+    probed = references._probed
+    monkeypatch.setattr(references, "_probed", lambda df: packed.append(df) or probed(df))
+    n, cut, split = 4000, 100, 200
+    parents = [(f"k{i}", i, i + 5) for i in range(n)] + [("hot", i, i + 1) for i in range(n)]
+    refs = [(f"k{i}", i, "t", "f", i, "p", 1) for i in range(n)] + [("hot", i + (i % 2) * n, "t", "f", n + i, "p", 1) for i in range(n)]
+    got = run(spark, parents, refs, refs_per_split=split, parents_per_slice=cut, parents_per_range=50)
+    assert got == brute([x for x in parents if x[0] == "hot"], [x for x in refs if x[0] == "hot"])
+    rows = packed[0].groupBy("is_ref").count().collect()
+    assert {r["is_ref"]: r["count"] for r in rows}[True] == len(refs)
+    # every slice of the hot key is copied once per split of its references, no other parent is
+    assert n * 2 <= {r["is_ref"]: r["count"] for r in rows}[False] <= 2 * n + 4 * n / cut + (cut + 2) * n / split
+    assert packed[0].groupBy("rng", "slice", "sub").count().agg({"count": "max"}).first()[0] <= 3 * (cut + split)
