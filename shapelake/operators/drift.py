@@ -6,8 +6,10 @@ an explicit migration step: added, removed, renamed or retyped. A file's fields
 the chained steps to the series' latest schema by rename, default and cast rules, so that all files read
 as one consistent table. The steps are the report of changes.
 
-Nothing here groups the lines of a file in one task: types are majorities by counting, renames are found
-by equi-joins on values, and only the steps (never the lines) of a series pass through one ordered stream.
+The lines are parsed once and written as typed lines, one row each. A file's fields and types come from one
+combining aggregation over them; its schema and the one before then stand in one row, so gone, new and retyped
+fields are array operations. Only the cases of files that lost and gained fields are compared for renames.
+Nothing here groups the lines of a file in one task.
 """
 
 from __future__ import annotations
@@ -19,82 +21,90 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shapelake.operators.ranking import lagged
 from shapelake.session import materialize
 
+TYPES = ("array", "boolean", "number", "object", "string")
 
-def json_type(variant: Column) -> Column:
-    """number, string, boolean, array or object; null for JSON null."""
-    t = F.schema_of_variant(variant)
+
+def json_type(schema: Column) -> Column:
+    """number, string, boolean, array or object from a variant's schema; null for JSON null."""
     return (
-        F.when(t == "VOID", F.lit(None))
-        .when(t == "STRING", "string")
-        .when(t == "BOOLEAN", "boolean")
-        .when(t.startswith("ARRAY"), "array")
-        .when(t.startswith("OBJECT"), "object")
+        F.when(schema == "VOID", F.lit(None))
+        .when(schema == "STRING", "string")
+        .when(schema == "BOOLEAN", "boolean")
+        .when(schema.startswith("ARRAY"), "array")
+        .when(schema.startswith("OBJECT"), "object")
         .otherwise("number")
     )
 
 
-def read_lines(df: DataFrame, body: str = "body", group: str = "context_metrics", case: str = "case_id") -> DataFrame:
-    """One row per line and field: series, file_no, file_id, line_no, case_id, field, type, value.
+def _typed(x: Column) -> Column:
+    """A value with its type, and as text: one text per number (adding 0.0 makes -0.0 and 0.0 one value)."""
+    kind = json_type(x["schema"])
+    number = (F.try_variant_get(x["x"], "$", "double") + F.lit(0.0)).cast("string")
+    value = F.when(kind == "number", number).when(kind == "string", F.try_variant_get(x["x"], "$", "string")).when(kind.isNotNull(), F.to_json(x["x"]))
+    return F.struct(x["field"].alias("field"), kind.alias("type"), value.alias("value"))
+
+
+def read_lines(df: DataFrame, body: str = "body", group: str = "context_metrics", case: str = "case_id", delivered: str = "delivered_at") -> DataFrame:
+    """One row per distinct line: series, file_no, file_id, line_no, delivered, digest, case_id, fields (array of
+    field, type, value). Operators below read it several times, so callers write it once.
 
-    A line is a (file_id, line_no); one delivered twice comes out twice here, and the operators below count
-    it once. A line that is not JSON, has text after its object, repeats a key within an object, or whose
-    ``group`` is no object, gives nothing. Numbers get one text per value (28 and 28.0 are equal), arrays
-    and objects a canonical text; JSON null has a null type and value. Values are parsed by the JVM.
+    A line is a (file_id, line_no) with its text; one delivered twice comes out once, with the later delivery;
+    ``delivered`` may be absent. A line that is not JSON, has text after its object, repeats a key within an
+    object, or whose ``group`` is no object, has null fields. Numbers get one text per value (28 and 28.0 are
+    equal), arrays and objects a canonical text; JSON null has a null type and value. Values are parsed by the
+    JVM. A null file_id is no file.
     """
+    at = F.col(delivered) if delivered in df.columns else F.lit(None).cast("timestamp")
+    once = df.filter("file_id is not null").groupBy("series", "file_no", "file_id", "line_no", F.col(body).cast("string").alias("text")).agg(F.max(at).alias("delivered"))
     # The parser stops behind the first value, so a line is parsed as a list's only element: text behind it fails.
-    parsed = df.filter("file_id is not null").select("series", "file_no", "file_id", "line_no", F.try_parse_json(F.concat(F.lit("["), F.col(body).cast("string"), F.lit("]"))).alias("v"))
-    parsed = parsed.filter(F.try_variant_get("v", "$[1]", "variant").isNull())
-    fields = parsed.select(
+    parsed = once.withColumn("v", F.try_parse_json(F.concat(F.lit("["), "text", F.lit("]"))))
+    parsed = parsed.withColumn("v", F.when(F.try_variant_get("v", "$[1]", "variant").isNull(), F.col("v")))
+    entries = F.map_entries(F.try_variant_get("v", f"$[0].{group}", "map<string,variant>"))
+    schemas = F.transform(entries, lambda e: F.struct(e["key"].alias("field"), F.schema_of_variant(e["value"]).alias("schema"), e["value"].alias("x")))
+    return parsed.select(
         "series",
         "file_no",
         "file_id",
         "line_no",
+        "delivered",
+        F.xxhash64("text").alias("digest"),
         F.try_variant_get("v", f"$[0].{case}", "string").alias("case_id"),
-        F.explode(F.try_variant_get("v", f"$[0].{group}", "map<string,variant>")).alias("field", "x"),
-    )
-    typed = fields.withColumn("type", json_type(F.col("x")))
-    # Adding 0.0 makes -0.0 and 0.0 one value.
-    number = (F.try_variant_get("x", "$", "double") + F.lit(0.0)).cast("string")
-    value = F.when(F.col("type") == "number", number).when(F.col("type") == "string", F.try_variant_get("x", "$", "string")).when(F.col("type").isNotNull(), F.to_json("x"))
-    return typed.select("series", "file_no", "file_id", "line_no", "case_id", "field", "type", value.alias("value"))
-
-
-def file_chain(df: DataFrame) -> DataFrame:
-    """Every file with the file after it in its series, by file_no (ties by file_id); files without a
-    readable line are files too."""
-    files = df.filter("file_id is not null").select("series", "file_no", "file_id").distinct()
-    order = W.partitionBy("series").orderBy("file_no", "file_id")
-    return files.withColumn("next_id", F.lead("file_id").over(order))
-
-
-def file_schemas(lines: DataFrame) -> DataFrame:
-    """Fields of every file with the type of most non-null values (ties: the first by name; all null: null)."""
-    counted = lines.groupBy("file_id", "field", "type").agg(F.count_distinct("line_no").alias("n"))
-    best = F.max(F.when(F.col("type").isNotNull(), F.struct("n", F.expr("-array_position(array('array','boolean','number','object','string'), type)").alias("r"), "type")))
-    return counted.groupBy("file_id", "field").agg(best.alias("b")).select("file_id", "field", F.col("b.type").alias("type"))
-
+        schemas.alias("fields"),
+    ).withColumn("fields", F.transform("fields", _typed))
 
-def fingerprints(schemas: DataFrame) -> DataFrame:
-    """Fingerprint of every file's schema: a digest of its sorted (field, type) list, with the list's length."""
-    pair = F.concat_ws(":", "field", F.coalesce("type", F.lit("null")))
-    return schemas.groupBy("file_id").agg(
-        F.sha2(F.concat_ws("\n", F.array_sort(F.collect_list(pair))), 256).alias("fingerprint"), F.count("*").alias("fields")
-    )
 
+def file_history(lines: DataFrame) -> DataFrame:
+    """Every file with its schema and that of the file before it in its series, by file_no (ties by file_id):
+    series, file_no, file_id, schema (array of field, type), fingerprint, prev_id, prev_schema, moved.
 
-def versions(chain: DataFrame, schemas: DataFrame) -> DataFrame:
-    """Every file with its fingerprint and version: the number of times its series' fingerprint changed up to it
-    (1 for the first). A file without a readable line has the empty fingerprint."""
-    prints = chain.join(fingerprints(schemas), "file_id", "left").fillna({"fingerprint": "", "fields": 0})
+    A field's type is that of most non-null values (ties: the first by name; all null: null). The fingerprint is
+    a digest of the sorted (field, type) list; a file without a readable line has the empty fingerprint and is a
+    file too. ``moved`` is 1 where the fingerprint differs from the one before, and for the first file.
+    """
+    fields = lines.select("series", "file_no", "file_id", F.explode_outer("fields").alias("x")).select("series", "file_no", "file_id", "x.field", "x.type")
+    counted = fields.groupBy("series", "file_no", "file_id", "field").agg(*[F.count_if(F.col("type") == t).alias(t) for t in TYPES])
+    most = F.array_max(F.filter(F.array(*[F.struct(F.col(t).alias("n"), F.lit(-i).alias("r"), F.lit(t).alias("type")) for i, t in enumerate(TYPES)]), lambda x: x["n"] > 0))
+    pair = F.when(F.col("field").isNotNull(), F.struct("field", F.col("most.type").alias("type")))
+    per = counted.withColumn("most", most).groupBy("series", "file_no", "file_id").agg(F.array_sort(F.collect_list(pair)).alias("schema"))
+    text = F.array_sort(F.transform("schema", lambda x: F.concat_ws(":", x["field"], F.coalesce(x["type"], F.lit("null")))))
+    per = per.withColumn("fingerprint", F.when(F.size("schema") > 0, F.sha2(F.array_join(text, "\n"), 256)).otherwise(""))
+    per = materialize(per.withColumn("now", F.struct("file_id", "schema", "fingerprint")), "schemas")
+    out = lagged(per, ["series"], ["file_no", "file_id"], "now", "before")
+    moved = F.when(F.col("before.fingerprint") == F.col("fingerprint"), 0).otherwise(1)
+    return out.select("series", "file_no", "file_id", "schema", "fingerprint", F.col("before.file_id").alias("prev_id"), F.col("before.schema").alias("prev_schema"), moved.alias("moved"))
+
+
+def versions(history: DataFrame) -> DataFrame:
+    """Every file with its fingerprint, number of fields and version: the number of times its series' fingerprint
+    changed up to it (1 for the first)."""
     w = W.partitionBy("series").orderBy("file_no", "file_id")
-    moved = F.when(F.lag("fingerprint").over(w) == F.col("fingerprint"), 0).otherwise(1)
-    out = prints.withColumn("moved", moved)
-    return out.select("series", "file_no", "file_id", "fingerprint", "fields", "moved", F.sum("moved").over(w).alias("version"))
+    return history.select("series", "file_no", "file_id", "fingerprint", F.size("schema").cast("bigint").alias("fields"), F.sum("moved").over(w).alias("version"))
 
 
-def migration_steps(lines: DataFrame, chain: DataFrame) -> DataFrame:
+def migration_steps(lines: DataFrame, history: DataFrame) -> DataFrame:
     """Differences between every file and the file before it: file_id (the later), prev_id, change, field,
     new_field, old_type, new_type.
 
@@ -104,57 +114,51 @@ def migration_steps(lines: DataFrame, chain: DataFrame) -> DataFrame:
     type. ``new_field`` is '' unless renamed. The first file of a series has no steps, and a file with the
     fingerprint of the one before it is not compared.
     """
-    # A column's sides are tagged and grouped by (later file, field), like two snapshots.
-    schemas = materialize(file_schemas(lines).join(chain.select("file_id", "next_id"), "file_id"), "schemas")
-    firsts = chain.filter("next_id is not null").select(F.col("next_id").alias("id"), F.col("file_id").alias("prev_id"))
-    tagged = schemas.select(F.col("file_id").alias("id"), "field", "type", F.lit(True).alias("later")).unionByName(
-        schemas.filter("next_id is not null").select(F.col("next_id").alias("id"), "field", "type", F.lit(False).alias("later"))
-    )
-    moved = versions(chain, schemas).filter("moved = 1 and version > 1").select(F.col("file_id").alias("id"))
-    pairs = tagged.join(moved, "id", "left_semi").groupBy("id", "field").agg(
-        F.max(F.when(~F.col("later"), 1)).alias("in_old"),
-        F.max(F.when(F.col("later"), 1)).alias("in_new"),
-        F.max(F.when(~F.col("later"), F.col("type"))).alias("old_type"),
-        F.max(F.when(F.col("later"), F.col("type"))).alias("new_type"),
+    names = lambda c: F.transform(c, lambda x: x["field"])
+    old, new = F.col("prev_schema"), F.col("schema")
+    lost, born = F.array_except(names(old), names(new)), F.array_except(names(new), names(old))
+    changed = F.filter(F.array_except(new, old), lambda x: ~F.array_contains(F.col("born"), x["field"]) & x["type"].isNotNull())
+    before = lambda x: F.filter(F.col("prev_schema"), lambda y: y["field"] == x["field"])[0]["type"]
+    d = history.filter("moved = 1 and prev_id is not null").withColumns({"lost": lost, "born": born})
+    d = d.select(
+        F.col("file_id").alias("id"),
+        "prev_id",
+        F.filter(old, lambda x: F.array_contains(F.col("lost"), x["field"])).alias("gone"),
+        F.filter(new, lambda x: F.array_contains(F.col("born"), x["field"])).alias("new"),
+        F.filter(F.transform(changed, lambda x: F.struct(x["field"].alias("field"), before(x).alias("old"), x["type"].alias("type"))), lambda x: x["old"].isNotNull()).alias("retyped"),
     )
-    differs = F.col("in_old").isNull() | F.col("in_new").isNull() | (F.col("old_type") != F.col("new_type"))
-    diff = materialize(pairs.filter(differs).join(firsts, "id"), "diff")
-    gone = diff.filter("in_new is null").select("id", "prev_id", F.col("field").alias("g"), F.col("old_type").alias("type"))
-    new = diff.filter("in_old is null").select("id", "prev_id", F.col("field").alias("n"), F.col("new_type").alias("type"))
-
-    # Values of gone fields in the earlier file and of new ones in the later, both under the later file's id.
-    values = lines.filter("type is not null and case_id is not null").select("file_id", "case_id", "field", "type", "value")
-    wanted = gone.select(F.col("prev_id").alias("file_id"), F.col("g").alias("field"), "type", "id", F.lit("g").alias("side")).unionByName(
-        new.select(F.col("id").alias("file_id"), F.col("n").alias("field"), "type", "id", F.lit("n").alias("side"))
+
+    # A file is the earlier of one pair and the later of another: two wishes for its values at most.
+    both = d.filter("size(gone) > 0 and size(new) > 0")
+    wish = lambda f, side, fields: F.struct(F.col(f).alias("file_id"), F.col("id"), F.lit(side).alias("side"), F.col(fields).alias("fields"))
+    wishes = both.select(F.explode(F.array(wish("prev_id", "g", "gone"), wish("id", "n", "new"))).alias("w")).select("w.file_id", F.struct("w.id", "w.side", "w.fields").alias("w"))
+    wishes = wishes.groupBy("file_id").agg(F.collect_list("w").alias("ws"))
+    asked = lines.filter("fields is not null and case_id is not null").select("file_id", "case_id", "fields").join(wishes, "file_id").select("case_id", "fields", F.explode("ws").alias("w"))
+    values = asked.select("w.id", "case_id", "w.side", F.explode(F.filter("fields", lambda f: F.array_contains(F.col("w.fields"), F.struct(f["field"].alias("field"), f["type"].alias("type"))))).alias("f")).filter("f.type is not null")
+    held = values.groupBy("id", "case_id", "f.type", "side", "f.field").agg(F.min("f.value").alias("lo"), F.max("f.value").alias("hi"))
+    # What a case holds of the gone and of the new fields, as wide as the change of schema; the pairs of the two
+    # sides are counted where they arise.
+    side = lambda s: F.collect_list(F.when(F.col("side") == s, F.struct("field", "lo", "hi")))
+    cases = held.groupBy("id", "case_id", "type").agg(side("g").alias("g"), side("n").alias("n"))
+    pair = lambda x, y: F.struct(x["field"].alias("g"), y["field"].alias("n"), ((x["lo"] == y["lo"]) & (x["hi"] == y["hi"]) & (x["lo"] == x["hi"])).alias("eq"))
+    pairs = cases.select("id", "type", F.explode(F.flatten(F.transform("g", lambda x: F.transform("n", lambda y: pair(x, y))))).alias("p"))
+    renamed = pairs.groupBy("id", "type", "p.g", "p.n").agg(F.min("p.eq").alias("eq")).filter("eq")
+    renamed = renamed.groupBy("id").agg(F.collect_list(F.struct("g", "n", "type")).alias("r"))
+
+    none, untyped = F.lit(""), F.lit(None).cast("string")
+    step = lambda change, field, new_field, old_type, new_type: F.struct(
+        F.lit(change).alias("change"), field.alias("field"), new_field.alias("new_field"), old_type.alias("old_type"), new_type.alias("new_type")
     )
-    held = materialize(values.join(wanted, ["file_id", "field", "type"]).select("id", "case_id", "field", "type", "value", "side").distinct(), "held")
-    a = held.filter("side = 'g'").select("id", "case_id", "type", F.col("field").alias("g"), F.col("value").alias("vg"))
-    b = held.filter("side = 'n'").select("id", "case_id", "type", F.col("field").alias("n"), F.col("value").alias("vn"))
-    agree = a.join(b, (a.id == b.id) & (a.case_id == b.case_id) & (a.type == b.type) & (a.vg == b.vn)).select(a.id, a.type, "g", "n").distinct()
-    c = agree.alias("c")
-    clash = (
-        c.join(a.alias("a"), (F.col("c.id") == F.col("a.id")) & (F.col("c.g") == F.col("a.g")) & (F.col("c.type") == F.col("a.type")))
-        .join(
-            b.alias("b"),
-            (F.col("c.id") == F.col("b.id")) & (F.col("c.n") == F.col("b.n")) & (F.col("a.case_id") == F.col("b.case_id")) & (F.col("c.type") == F.col("b.type")),
-        )
-        .filter("vg != vn")
-        .select(F.col("c.id").alias("id"), F.col("c.g").alias("g"), F.col("c.n").alias("n"))
-        .distinct()
+    gone = F.filter("gone", lambda x: ~F.exists("r", lambda y: y["g"] == x["field"]))
+    fresh = F.filter("new", lambda x: ~F.exists("r", lambda y: y["n"] == x["field"]))
+    all_ = F.concat(
+        F.transform("r", lambda x: step("renamed", x["g"], x["n"], x["type"], x["type"])),
+        F.transform(gone, lambda x: step("removed", x["field"], none, x["type"], untyped)),
+        F.transform(fresh, lambda x: step("added", x["field"], none, untyped, x["type"])),
+        F.transform("retyped", lambda x: step("retyped", x["field"], none, x["old"], x["type"])),
     )
-    renamed = materialize(agree.join(clash, ["id", "g", "n"], "left_anti").select("id", "type", "g", "n"), "renamed")
-
-    none = F.lit("")
-    out = [
-        renamed.join(firsts, "id").select("id", "prev_id", F.lit("renamed").alias("change"), F.col("g").alias("field"), F.col("n").alias("new_field"), F.col("type").alias("old_type"), F.col("type").alias("new_type")),
-        gone.join(renamed.select("id", "g"), ["id", "g"], "left_anti").select("id", "prev_id", F.lit("removed"), "g", none, "type", F.lit(None).cast("string")),
-        new.join(renamed.select("id", "n"), ["id", "n"], "left_anti").select("id", "prev_id", F.lit("added"), "n", none, F.lit(None).cast("string"), "type"),
-        diff.filter("in_old is not null and in_new is not null").select("id", "prev_id", F.lit("retyped"), "field", none, "old_type", "new_type"),
-    ]
-    steps = out[0]
-    for more in out[1:]:
-        steps = steps.union(more)
-    return steps.withColumnRenamed("id", "file_id")
+    joined = d.join(renamed, "id", "left").withColumn("r", F.coalesce("r", F.array().cast("array<struct<g:string,n:string,type:string>>")))
+    return joined.select(F.col("id").alias("file_id"), "prev_id", F.explode(all_).alias("s")).select("file_id", "prev_id", "s.*")
 
 
 _ROUTE = "series string, file_id bigint, field string, target string, target_type string, rule string"
@@ -209,34 +213,53 @@ def _walk_back(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame(out, columns=["series", "file_id", "field", "target", "target_type", "rule"])
 
 
-def routes(schemas: DataFrame, steps: DataFrame, chain: DataFrame) -> DataFrame:
+def routes(history: DataFrame, steps: DataFrame) -> DataFrame:
     """Where each field of each file goes in its series' latest schema, through all renames after it.
 
     A removed field keeps its own name (with ``#file_id`` if another line of the series took that name);
     a field of the latest schema that a file lacks gets a 'default' row. A rename out of ``field`` has
     its row under the earlier file, so that the walk from the last file back meets it in time.
     """
-    place = chain.select("file_id", "series", "file_no")
-    rows = schemas.select("file_id", F.lit("field").alias("kind"), "field", F.col("type").alias("extra")).unionByName(
-        steps.filter("change = 'renamed'").select(F.col("prev_id").alias("file_id"), F.lit("rename").alias("kind"), "field", F.col("new_field").alias("extra"))
-    )
+    place = history.select("file_id", "series", "file_no")
+    fields = history.select("series", "file_no", "file_id", F.explode("schema").alias("x")).select("series", "file_no", "file_id", F.lit("field").alias("kind"), "x.field", F.col("x.type").alias("extra"))
+    renames = steps.filter("change = 'renamed'").select(F.col("prev_id").alias("file_id"), F.lit("rename").alias("kind"), "field", F.col("new_field").alias("extra"))
+    rows = fields.unionByName(renames.join(place, "file_id"))
     ordered = (
-        rows.join(place, "file_id")
-        .select(F.coalesce("series", F.lit("")).alias("series"), "file_no", "file_id", "kind", "field", "extra")
+        rows.withColumn("series", F.coalesce("series", F.lit("")))
+        .select("series", "file_no", "file_id", "kind", "field", "extra")
         .repartition("series")
         .sortWithinPartitions("series", F.desc("file_no"), F.desc("file_id"), "kind", "field", "extra")
     )
     return ordered.mapInPandas(_walk_back, _ROUTE)
 
 
+def _last_delivery(lines: DataFrame) -> DataFrame:
+    """Of readable lines that were delivered with different texts, the one delivered last (ties: the greatest
+    digest). Only such lines, not all, are joined."""
+    key = F.struct("delivered", "digest")
+    readable = lines.filter("fields is not null")
+    twice = readable.groupBy("file_id", "line_no").agg(F.count("*").alias("n"), F.max(key).alias("best")).filter("n > 1")
+    twice = materialize(twice.select("file_id", "line_no", F.col("best.digest").alias("best")), "twice")
+    return readable.join(twice, ["file_id", "line_no"], "left").filter("best is null or best = digest").drop("best")
+
+
 def consistent_table(lines: DataFrame, routed: DataFrame) -> DataFrame:
     """All lines in their series' latest schema: file_id, line_no, case_id, field, type, value, rule.
 
     A value of another type than the target's is cast where it can be (text of a number, a number or
     boolean as text); else the value is null and the rule ends in 'lost'. Default rows have a null value.
-    A line delivered twice comes out once (if its deliveries differ, with the greatest value per field).
+    Of a line delivered with different texts the delivery received last counts, as a whole.
     """
-    present = lines.join(routed.filter("field is not null").drop("series"), ["file_id", "field"])
+    target = F.struct("target", "target_type", F.split("rule", r"\+")[0].alias("rule"))
+    per = routed.groupBy("file_id").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("field").isNotNull(), F.struct("field", target.alias("to"))))).alias("to"),
+        F.collect_list(F.when(F.col("field").isNull(), target)).alias("absent"),
+    )
+    joined = _last_delivery(lines).join(per, "file_id")
+    none = F.lit(None).cast("string")
+    row = lambda to, kind, value: F.struct(to["target"].alias("field"), kind.alias("type"), value.alias("value"), to["target_type"].alias("target_type"), to["rule"].alias("rule"))
+    rows = F.concat(F.transform("fields", lambda f: row(F.col("to")[f["field"]], f["type"], f["value"])), F.transform("absent", lambda t: row(t, none, none)))
+    present = joined.select("file_id", "line_no", "case_id", F.explode(rows).alias("r")).select("file_id", "line_no", "case_id", "r.*")
     as_number = F.expr("try_cast(value as double)").cast("string")
     as_bool = F.expr("try_cast(value as boolean)").cast("string")
     same = F.col("type").isNull() | (F.col("type") == F.col("target_type"))
@@ -247,11 +270,5 @@ def consistent_table(lines: DataFrame, routed: DataFrame) -> DataFrame:
         .when((F.col("target_type") == "boolean") & (F.col("type") == "string"), as_bool)
         .when(F.col("target_type") == "array", as_list)
     )
-    rule = F.split(F.col("rule"), r"\+")[0]
-    rule = F.when(same, rule).otherwise(F.concat(rule, F.when(value.isNull(), F.lit("+lost")).otherwise(F.lit("+cast"))))
-    one = F.max(F.struct(value.alias("value"), "case_id", F.col("target_type").alias("type"), rule.alias("rule")))
-    kept = present.groupBy("file_id", "line_no", F.col("target").alias("field")).agg(one.alias("r")).select("file_id", "line_no", "r.case_id", "field", "r.type", "r.value", "r.rule")
-    defaults = routed.filter("field is null").select("file_id", F.col("target").alias("field"), F.col("target_type").alias("type"))
-    each = lines.groupBy("file_id", "line_no").agg(F.max("case_id").alias("case_id"))
-    filled = each.join(defaults, "file_id").select("file_id", "line_no", "case_id", "field", "type", F.lit(None).cast("string").alias("value"), F.lit("default").alias("rule"))
-    return kept.unionByName(filled)
+    rule = F.when(same, F.col("rule")).otherwise(F.concat("rule", F.when(value.isNull(), F.lit("+lost")).otherwise(F.lit("+cast"))))
+    return present.select("file_id", "line_no", "case_id", "field", F.col("target_type").alias("type"), value.alias("value"), rule.alias("rule"))

@@ -106,7 +106,7 @@ def _split_hot(df: DataFrame, key: list[str], order: list[str], most: int) -> tu
 
     The pieces come from one range partitioning on (key, order), so a group of any size is spread over tasks,
     and are written, so that they are the same whenever they are read. At most (rows / ``most``) groups can be
-    that large, so their list stays small.
+    that large; the list is written, so Spark knows its size and broadcasts it while it is under its limit.
     """
     hot = materialize(df.groupBy(*key).agg(F.count("*").alias("_size")).filter(F.col("_size") > most), "hot")
     rows = hot.agg(F.sum("_size").alias("s")).first()["s"]
@@ -116,7 +116,7 @@ def _split_hot(df: DataFrame, key: list[str], order: list[str], most: int) -> tu
     on = same[0]
     for c in same[1:]:
         on = on & c
-    d, h = df.alias("d"), F.broadcast(hot).alias("h")
+    d, h = df.alias("d"), hot.alias("h")
     parts = max(shuffle_partitions(df.sparkSession), -(-rows // most))
     pieces = d.join(h, on, "left_semi").repartitionByRange(parts, *key, *order).withColumn("_pid", F.spark_partition_id())
     return d.join(h, on, "left_anti"), materialize(pieces, "pieces")
@@ -135,7 +135,7 @@ def numbered(df: DataFrame, key: list[str], order: list[str], most: int = 5_000_
     same = F.col("a._pid") == F.col("b._pid")
     for k in key:
         same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    placed = pieces.withColumn("_i", F.row_number().over(W.partitionBy(*key, "_pid").orderBy(*order))).alias("a").join(F.broadcast(per).alias("b"), same)
+    placed = pieces.withColumn("_i", F.row_number().over(W.partitionBy(*key, "_pid").orderBy(*order))).alias("a").join(per.alias("b"), same)
     return out.unionByName(placed.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("a._i") + F.col("b._before")).alias("_i"), F.col("b._n").alias("_n")))
 
 
@@ -153,7 +153,7 @@ def lagged(df: DataFrame, key: list[str], order: list[str], value: str, name: st
     same = F.col("a._pid") == F.col("b._pid")
     for k in key:
         same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    j = own.alias("a").join(F.broadcast(ends).alias("b"), same)
+    j = own.alias("a").join(ends.alias("b"), same)
     return out.unionByName(j.select(*[F.col(f"a.{c}") for c in df.columns], F.when(F.col("a._first"), F.col("b._end.v")).otherwise(F.col("a._lag")).alias(name)))
 
 

@@ -13,6 +13,8 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shapelake.session import materialize
+
 # A row's stamp is its receipt time in microseconds times 10**20 plus its hash moved to 0 .. 2**64-1,
 # as DECIMAL(38, 0): the maximum is the row received last, equal times fall to the larger hash.
 _SHIFT = Decimal(10**20)
@@ -57,7 +59,7 @@ def snapshot_changes(df: DataFrame, snapshot: str, key: Column, received: str, w
         key.alias("key"),
         row_stamp(F.col(received), F.xxhash64(*watched)).alias("stamp"),
     ).filter("no is not null and key is not null")
-    # Two rows per snapshot number, so its size is bound by the number of snapshots, not by their rows.
+    # Two rows per snapshot number; written, so Spark knows the size and broadcasts it while it is under its limit.
     numbers = df.select(F.col(snapshot).alias("no")).filter("no is not null").agg(F.array_sort(F.collect_set("no")).alias("a"))
     pairs = numbers.select(
         F.explode(
@@ -69,7 +71,7 @@ def snapshot_changes(df: DataFrame, snapshot: str, key: Column, received: str, w
             )
         ).alias("p")
     ).select("p.no", "p.pair", "p.after")
-    sides = rows.join(F.broadcast(pairs), "no").groupBy("pair", "key").agg(
+    sides = rows.join(materialize(pairs, "pairs"), "no").groupBy("pair", "key").agg(
         F.max(F.when(~F.col("after"), F.col("stamp"))).alias("old"),
         F.max(F.when(F.col("after"), F.col("stamp"))).alias("new"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shapelake.operators import drift, nested, references, snapshots
-from shapelake.session import blank_to_null, table
+from shapelake.session import blank_to_null, materialize, table
 
 # ---- 1: what changed between full snapshots
 
@@ -197,14 +197,14 @@ UNION ALL SELECT 'face', record_id, pk, parent_pk, round(try_cast(CASE json_type
 
 
 def _drift(spark: SparkSession, folder: str):
-    df = table(spark, folder, "matrix_lines")
-    return drift.read_lines(df), drift.file_chain(df)
+    """The typed lines and the files' history, both written: what follows reads them several times."""
+    lines = materialize(drift.read_lines(table(spark, folder, "matrix_lines")), "lines")
+    return lines, materialize(drift.file_history(lines), "history")
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Every field added, removed, renamed or retyped between neighbouring files of a series."""
-    lines, chain = _drift(spark, folder)
-    return drift.migration_steps(lines, chain).select("file_id", "change", "field", "new_field")
+    return drift.migration_steps(*_drift(spark, folder)).select("file_id", "change", "field", "new_field")
 
 
 _P4_CTES = """
@@ -216,7 +216,7 @@ k AS (SELECT file_id, line_no, cid, m, unnest(json_keys(m)) AS field FROM m),
 v AS (SELECT file_id, line_no, cid, field, json_extract(m, '$."' || field || '"') AS x FROM k),
 t AS (SELECT file_id, line_no, cid, field, CASE json_type(x) WHEN 'NULL' THEN NULL WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS type,
   CASE WHEN json_type(x) IN ('UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') THEN (x->>'$')::DOUBLE::VARCHAR WHEN json_type(x) = 'VARCHAR' THEN x->>'$' ELSE x::VARCHAR END AS value FROM v),
-n AS (SELECT file_id, field, type, count(DISTINCT line_no) AS n FROM t GROUP BY ALL),
+n AS (SELECT file_id, field, type, count(*) AS n FROM t GROUP BY ALL),
 s AS (SELECT file_id, field, type FROM n QUALIFY row_number() OVER (PARTITION BY file_id, field ORDER BY type IS NULL, n DESC, type) = 1),
 o AS (SELECT c.file_id AS id, c.prev_id, s.field, s.type FROM chain c JOIN s ON s.file_id = c.prev_id),
 w AS (SELECT c.file_id AS id, c.prev_id, s.field, s.type FROM chain c JOIN s ON s.file_id = c.file_id WHERE c.prev_id IS NOT NULL),
@@ -245,16 +245,51 @@ SELECT series, file_no, file_id, fingerprint, fields, sum(moved) OVER (PARTITION
 
 def p4_versions(spark: SparkSession, folder: str) -> DataFrame:
     """Schema fingerprint of every file with its version: the count of changes of fingerprint up to it."""
-    lines, chain = _drift(spark, folder)
-    return drift.versions(chain, drift.file_schemas(lines)).drop("moved")
+    return drift.versions(_drift(spark, folder)[1])
 
 
 def p4_table(spark: SparkSession, folder: str) -> DataFrame:
-    """All lines of all files in the latest schema of their series."""
-    lines, chain = _drift(spark, folder)
-    steps = drift.migration_steps(lines, chain)
-    return drift.consistent_table(lines, drift.routes(drift.file_schemas(lines), steps, chain))
-
+    """All lines of all files in the latest schema of their series; numbers as numbers, all else as text."""
+    lines, history = _drift(spark, folder)
+    rows = drift.consistent_table(lines, drift.routes(history, drift.migration_steps(lines, history)))
+    number = F.when(F.col("type") == "number", F.col("value").cast("double"))
+    return rows.select("file_id", "line_no", "case_id", "field", "type", number.alias("number"), F.when(F.col("type") != "number", F.col("value")).alias("text"), "rule")
+
+
+# The walk from a series' last file back to its first, one step per file, as a recursive query.
+P4_TABLE_SQL = _P4_CTES.replace("WITH files", "WITH RECURSIVE files") + """
+, rn AS (SELECT c.prev_id AS file_id, r.g, r.n FROM ren r JOIN chain c ON c.file_id = r.id
+         QUALIFY row_number() OVER (PARTITION BY r.id, r.g ORDER BY r.n) = 1 AND row_number() OVER (PARTITION BY r.id, r.n ORDER BY r.g) = 1),
+q AS (SELECT f.series, f.file_id, row_number() OVER (PARTITION BY f.series ORDER BY f.file_no DESC, f.file_id DESC) AS pos,
+        list({'field': s.field, 'kind': s.type, 'dest': rn.n} ORDER BY rn.n IS NULL, s.field) AS fs
+      FROM files f JOIN s USING (file_id) LEFT JOIN rn ON rn.file_id = s.file_id AND rn.g = s.field GROUP BY f.series, f.file_id, f.file_no),
+walk AS (
+  SELECT DISTINCT series, 0::BIGINT AS pos, NULL::BIGINT AS file_id, []::STRUCT(field VARCHAR, target VARCHAR, kind VARCHAR)[] AS routed, []::STRUCT(field VARCHAR, target VARCHAR, kind VARCHAR)[] AS later FROM q
+  UNION ALL
+  SELECT series, pos, file_id, routed, list_concat(list_filter(later, lambda x: NOT list_contains(list_transform(routed, lambda y: y.field), x.field) AND NOT list_contains(list_transform(fs, lambda y: coalesce(y.dest, '')), x.field)), routed)
+  FROM (
+    SELECT series, pos, file_id, fs, later,
+      list_transform(raw, lambda x, i: {'field': fs[i].field, 'target': CASE WHEN list_position(list_transform(raw, lambda y: y.target), x.target) < i THEN fs[i].field || '#' || file_id ELSE x.target END,
+        'kind': CASE WHEN list_position(list_transform(raw, lambda y: y.target), x.target) < i THEN fs[i].kind ELSE coalesce(x.kind, fs[i].kind) END}) AS routed
+    FROM (
+      SELECT q.series, q.pos, q.file_id, q.fs, w.later,
+        list_transform(q.fs, lambda f: coalesce(list_filter(w.later, lambda y: y.field = coalesce(f.dest, f.field))[1], {'field': f.field, 'target': f.field, 'kind': f.kind})) AS raw
+      FROM walk w JOIN q ON q.series IS NOT DISTINCT FROM w.series AND q.pos = w.pos + 1))),
+rt AS (SELECT file_id, unnest(routed, max_depth := 2) FROM walk w WHERE pos > 0),
+last AS (SELECT series, unnest(routed, max_depth := 2) FROM walk w WHERE pos = 1),
+dflt AS (SELECT w.file_id, last.target, last.kind FROM walk w JOIN last ON w.series IS NOT DISTINCT FROM last.series WHERE w.pos > 0 AND NOT list_contains(list_transform(w.routed, lambda x: x.target), last.target)),
+xr AS (
+  SELECT t.file_id, t.line_no, t.cid AS case_id, r.target AS field, r.kind AS type, t.type IS NULL OR t.type = r.kind AS same, CASE WHEN r.target = t.field THEN 'same' ELSE 'renamed' END AS rule,
+    CASE WHEN t.type IS NULL THEN NULL WHEN t.type = r.kind OR r.kind = 'string' THEN t.value
+         WHEN r.kind = 'number' AND t.type = 'string' THEN try_cast(t.value AS DOUBLE)::VARCHAR
+         WHEN r.kind = 'boolean' AND t.type = 'string' THEN try_cast(t.value AS BOOLEAN)::VARCHAR
+         WHEN r.kind = 'array' THEN CASE WHEN t.type = 'string' THEN to_json([t.value])::VARCHAR ELSE '[' || t.value || ']' END END AS value
+  FROM t JOIN rt r USING (file_id, field)
+  UNION ALL SELECT m.file_id, m.line_no, m.cid, d.target, d.kind, true, 'default', NULL FROM m JOIN dflt d USING (file_id))
+SELECT file_id, line_no, case_id, field, type, CASE WHEN type = 'number' THEN value::DOUBLE END AS number, CASE WHEN type <> 'number' THEN value END AS text,
+  CASE WHEN same THEN rule WHEN value IS NULL THEN rule || '+lost' ELSE rule || '+cast' END AS rule
+FROM xr
+"""
 
 # ---- 5: references to records that do not exist
 
@@ -395,4 +430,4 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_by_period": p5_by_period,
 }
-SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_tables": P2_TABLES_SQL, "p4_found": P4_SQL, "p4_versions": P4_VERSIONS_SQL, "p5_found": P5_SQL, "p5_by_period": P5_PERIOD_SQL}
+SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p2_tables": P2_TABLES_SQL, "p4_found": P4_SQL, "p4_versions": P4_VERSIONS_SQL, "p4_table": P4_TABLE_SQL, "p5_found": P5_SQL, "p5_by_period": P5_PERIOD_SQL}

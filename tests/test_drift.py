@@ -104,7 +104,8 @@ def test_steps_of_each_kind(spark):
 
 def steps(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
-    return {(r.file_id, r.change, r.field, r.new_field) for r in drift.migration_steps(drift.read_lines(df), drift.file_chain(df)).collect()}
+    lines = drift.read_lines(df)
+    return {(r.file_id, r.change, r.field, r.new_field) for r in drift.migration_steps(lines, drift.file_history(lines)).collect()}
 
 
 def test_empty_table_and_one_file(spark):
@@ -112,6 +113,20 @@ def test_empty_table_and_one_file(spark):
     assert steps(spark, ROWS[:2]) == set()
 
 
+def consistent(df):
+    lines = drift.read_lines(df)
+    history = drift.file_history(lines)
+    return drift.consistent_table(lines, drift.routes(history, drift.migration_steps(lines, history))).collect()
+
+
+def test_a_line_delivered_with_two_texts_is_taken_whole_from_the_last(spark):
+    rows = [("s", 1, 1, 1, json.dumps({"case_id": c, "context_metrics": m}), at) for c, m, at in (("a", {"x": 9, "y": 1}, 2), ("b", {"x": 1, "z": 5}, 3), ("c", {"x": 7}, 1))]
+    df = spark.createDataFrame([*rows, ("s", 1, 1, 1, "cut off {", 9), rows[1]], "series string, file_no int, file_id bigint, line_no int, body string, at int")
+    df = df.withColumn("delivered_at", df["at"].cast("timestamp"))
+    got = {(r.case_id, r.field, r.value) for r in consistent(df) if r.rule == "same"}
+    assert got == {("b", "x", "1.0"), ("b", "z", "5.0")}
+
+
 def test_consistent_table_chains_renames_defaults_and_casts(spark):
     rows = [
         line("s", 1, 1, 1, "a", x="5", gone=1),
@@ -120,9 +135,7 @@ def test_consistent_table_chains_renames_defaults_and_casts(spark):
         line("s", 4, 4, 1, "a", z=6, n=True),
     ]
     df = spark.createDataFrame(rows, SCHEMA)
-    lines, chain = drift.read_lines(df), drift.file_chain(df)
-    routed = drift.routes(drift.file_schemas(lines), drift.migration_steps(lines, chain), chain)
-    got = {(r.file_id, r.field): (r.value, r.type, r.rule) for r in drift.consistent_table(lines, routed).collect()}
+    got = {(r.file_id, r.field): (r.value, r.type, r.rule) for r in consistent(df)}
     assert got[1, "z"] == ("5.0", "number", "renamed+cast")
     assert got[2, "z"] == ("5.0", "number", "renamed+cast")
     assert got[3, "z"] == ("5.0", "number", "same+cast")
