@@ -41,16 +41,16 @@ def p3_ngrams(spark: SparkSession, folder: str) -> DataFrame:
 
 
 _P3_CTES = r"""
-WITH d AS (
-  SELECT DISTINCT screen_id, failures FROM screened_cases WHERE screen_id IS NOT NULL),
-f AS (SELECT screen_id, unnest(failures) AS x FROM d),
+WITH f AS (SELECT screen_id, received_at, unnest(failures) AS x FROM screened_cases),
 v AS (
-  SELECT screen_id, 'code' AS field, x.code AS value FROM f
-  UNION ALL SELECT screen_id, 'category', x.category FROM f
-  UNION ALL SELECT screen_id, 'stage', x.stage FROM f),
+  SELECT screen_id, received_at, 'code' AS field, x.code AS value FROM f
+  UNION ALL SELECT screen_id, received_at, 'category', x.category FROM f
+  UNION ALL SELECT screen_id, received_at, 'stage', x.stage FROM f),
 t AS (
-  SELECT screen_id, field, regexp_replace(regexp_replace(lower(value), '^\s+|\s+$', '', 'g'), '[\s\-_]+', '_', 'g') AS term FROM v),
-c AS (SELECT field, term, count(*) AS occurrences, count(DISTINCT screen_id) AS cases FROM t WHERE term <> '' GROUP BY field, term),
+  SELECT screen_id, received_at, field, regexp_replace(regexp_replace(lower(value), '^\s+|\s+$', '', 'g'), '[\s\-_]+', '_', 'g') AS term FROM v),
+p AS (SELECT field, term, screen_id, received_at, count(*) AS n FROM t WHERE term <> '' GROUP BY ALL),
+r AS (SELECT field, term, screen_id, CASE WHEN screen_id IS NULL THEN sum(n) ELSE max(n) END AS n FROM p GROUP BY field, term, screen_id),
+c AS (SELECT field, term, sum(n)::BIGINT AS occurrences, count(screen_id) AS cases FROM r GROUP BY field, term),
 m AS (
   SELECT *, CASE WHEN cases < 4 THEN 'rare' WHEN cases > 0.2 * (SELECT count(DISTINCT screen_id) FROM screened_cases) THEN 'common' END AS mark FROM c)
 """
@@ -58,15 +58,16 @@ P3_COUNTS_SQL = _P3_CTES + "SELECT field, term, occurrences, cases, mark FROM m"
 P3_SQL = _P3_CTES + "SELECT field, term, mark FROM m WHERE mark IS NOT NULL"
 
 P3_NGRAMS_SQL = r"""
-WITH d AS (SELECT DISTINCT screen_id, failures FROM screened_cases WHERE screen_id IS NOT NULL),
-v AS (
-  SELECT screen_id, 'code' AS field, list_transform(failures, lambda x: x.code) AS s FROM d
-  UNION ALL SELECT screen_id, 'category', list_transform(failures, lambda x: x.category) FROM d
-  UNION ALL SELECT screen_id, 'stage', list_transform(failures, lambda x: x.stage) FROM d),
-t AS (SELECT screen_id, field, list_filter(list_transform(s, lambda x: regexp_replace(regexp_replace(lower(x), '^\s+|\s+$', '', 'g'), '[\s\-_]+', '_', 'g')), lambda x: x <> '') AS s FROM v),
+WITH v AS (
+  SELECT screen_id, received_at, 'code' AS field, list_transform(failures, lambda x: x.code) AS s FROM screened_cases
+  UNION ALL SELECT screen_id, received_at, 'category', list_transform(failures, lambda x: x.category) FROM screened_cases
+  UNION ALL SELECT screen_id, received_at, 'stage', list_transform(failures, lambda x: x.stage) FROM screened_cases),
+t AS (SELECT screen_id, received_at, field, list_filter(list_transform(s, lambda x: regexp_replace(regexp_replace(lower(x), '^\s+|\s+$', '', 'g'), '[\s\-_]+', '_', 'g')), lambda x: x <> '') AS s FROM v),
 i AS (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM t),
-g AS (SELECT screen_id, field, n, array_to_string(list_slice(s, i, i + n - 1), ' ') AS ngram FROM i, (VALUES (1), (2), (3)) k(n) WHERE i + n - 1 <= len(s))
-SELECT field, ngram, n, count(*) AS occurrences, count(DISTINCT screen_id) AS cases FROM g GROUP BY field, ngram, n
+g AS (SELECT screen_id, received_at, field, n, array_to_string(list_slice(s, i, i + n - 1), ' ') AS ngram FROM i, (VALUES (1), (2), (3)) k(n) WHERE i + n - 1 <= len(s)),
+p AS (SELECT field, ngram, n, screen_id, received_at, count(*) AS c FROM g GROUP BY ALL),
+r AS (SELECT field, ngram, n, screen_id, CASE WHEN screen_id IS NULL THEN sum(c) ELSE max(c) END AS c FROM p GROUP BY field, ngram, n, screen_id)
+SELECT field, ngram, n, sum(c)::BIGINT AS occurrences, count(screen_id) AS cases FROM r GROUP BY field, ngram, n
 """
 
 # ---- 6: encoding with a public tokenizer

@@ -38,46 +38,45 @@ def normal_term(value: Column) -> Column:
 _NAMELESS = -(2**63)
 
 
-def _once(ids: np.ndarray, deliveries: np.ndarray) -> int:
-    """Occurrences, those of a record taken from its delivery that has most; rows without an id all count."""
-    named = ids != _NAMELESS
-    nameless = len(ids) - int(named.sum())
-    if nameless:
-        ids, deliveries = ids[named], deliveries[named]
-        if not len(ids):
-            return nameless
+_Rows = tuple[np.ndarray, np.ndarray, np.ndarray]  # record, delivery, occurrences
+
+
+def _merged(parts: list[_Rows]) -> _Rows:
+    """One row per (record, delivery), sorted, with the occurrences of all parts added."""
+    ids, deliveries, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
     order = np.lexsort((deliveries, ids))
-    i, d = ids[order], deliveries[order]
-    edge = np.r_[True, (i[1:] != i[:-1]) | (d[1:] != d[:-1])]
-    at = np.flatnonzero(edge)
-    n = np.diff(np.r_[at, len(i)])
-    record = np.r_[True, i[at][1:] != i[at][:-1]]
-    return nameless + int(np.maximum.reduceat(n, np.flatnonzero(record)).sum())
+    ids, deliveries, counts = ids[order], deliveries[order], counts[order]
+    at = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (deliveries[1:] != deliveries[:-1])])
+    return ids[at], deliveries[at], np.add.reduceat(counts, at)
+
+
+def _totals(rows: _Rows) -> tuple[int, int]:
+    """Occurrences, those of a record taken from its delivery that has most, and records; rows without an id
+    all count as occurrences and are no record."""
+    ids, _, counts = rows
+    named = int(np.searchsorted(ids, _NAMELESS, "right"))  # the least id comes first
+    nameless, ids, counts = int(counts[:named].sum()), ids[named:], counts[named:]
+    if not len(ids):
+        return nameless, 0
+    at = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+    return nameless + int(np.maximum.reduceat(counts, at).sum()), len(at)
 
 
 class _Counter:
-    """The stack: one level per term of the current suffix, each with occurrences and record ids."""
+    """The stack: one level per term of the current suffix with the rows that begin with the terms so far."""
 
     def __init__(self):
         self.field: str | None = None
         self.path: list[str] = []
-        self.count: list[int] = []  # from extensions
-        self.ids: list[list[np.ndarray]] = []  # from extensions
-        self.own: list[list[tuple[np.ndarray, np.ndarray]]] = []  # rows of just this suffix
-        self.rows: list[tuple] = []
+        self.rows: list[list[_Rows]] = []
+        self.out: list[tuple] = []
 
     def _pop(self) -> None:
-        ids, n, own = self.ids.pop(), self.count.pop(), self.own.pop()
-        if own:
-            mine = np.concatenate([x for x, _ in own])
-            n += _once(mine, np.concatenate([d for _, d in own]))
-            ids.append(mine)
-        ids = np.unique(np.concatenate(ids))
-        self.rows.append((self.field, list(self.path), len(self.path), n, len(ids) - int(ids[0] == _NAMELESS)))
+        rows = _merged(self.rows.pop())
+        self.out.append((self.field, list(self.path), len(self.path), *_totals(rows)))
         self.path.pop()
-        if self.path:  # what has this n-gram has its prefix too
-            self.count[-1] += n
-            self.ids[-1].append(ids)
+        if self.path:  # what has this n-gram has its prefix too, in the same record and delivery
+            self.rows[-1].append(rows)
 
     def close(self) -> None:
         while self.path:
@@ -94,14 +93,12 @@ class _Counter:
         self.field = field
         for term in suffix[same:]:
             self.path.append(term)
-            self.count.append(0)
-            self.ids.append([])
-            self.own.append([])
-        self.own[-1].append((ids, deliveries))
+            self.rows.append([])
+        self.rows[-1].append((ids, deliveries, np.ones(len(ids), np.int64)))
 
     def take(self) -> pa.RecordBatch:
-        cols = list(zip(*self.rows, strict=True)) if self.rows else [()] * len(_OUT_ARROW)
-        self.rows = []
+        cols = list(zip(*self.out, strict=True)) if self.out else [()] * len(_OUT_ARROW)
+        self.out = []
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _OUT_ARROW.types, strict=True)], schema=_OUT_ARROW)
 
 
@@ -125,7 +122,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 counter.close()
                 bucket = heads[0][i]
             counter.add(heads[1][i], [c[i] for c in heads[2:] if c[i] is not None], ids[a:b].copy(), deliveries[a:b].copy())
-        if len(counter.rows) >= 10_000:
+        if len(counter.out) >= 10_000:
             yield counter.take()
     counter.close()
     yield counter.take()
@@ -138,8 +135,8 @@ def ngram_frequency(
 
     ``fields`` maps a field's name to its sequence (array<string>); null elements are left out of it. A
     record is a distinct value of ``record``. With ``delivery`` (what tells apart the rows of a record that
-    was delivered again) a record's occurrences are those of its delivery that has most; without it all rows
-    add occurrences. Rows without a record id count as occurrences, but not as records. Null and empty
+    was delivered again) a record's occurrences of an n-gram are those in its delivery that has most of it, for
+    every ``max_n`` alike; without it, and of equal deliveries, all rows add occurrences. Rows without a record id count as occurrences, but not as records. Null and empty
     sequences give nothing, an empty table no rows; columns not named aren't read. Record ids that aren't
     integers are compared by 64-bit digest. ``buckets`` (default: the shuffle's partitions) bounds the
     records of one term in one place to their share.

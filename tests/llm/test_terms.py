@@ -72,3 +72,13 @@ def test_rows_without_id_all_count_with_deliveries(spark, buckets):
     df = spark.createDataFrame(rows, "id bigint, d int, s array<string>")
     got = {tuple(r.term): (r.occurrences, r.records) for r in terms.ngram_frequency(df, "id", {"f": F.col("s")}, 2, delivery=F.col("d"), buckets=buckets).collect()}
     assert got == {("a",): (104, 1), ("b",): (102, 2), ("a", "b"): (101, 1)}
+
+
+def test_occurrences_do_not_depend_on_the_longest_ngram(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.randint(0, 30), d, [rnd.choice("abc") for _ in range(rnd.randint(0, 5))]) for d in range(4) for _ in range(40)]
+    rows += [(99, 0, ["a", "b"]), (99, 1, ["a", "c"])]
+    df = spark.createDataFrame(rows, "id bigint, d int, s array<string>")
+    for max_n in (1, 2, 4):
+        got = {(tuple(r.term), r.occurrences, r.records) for r in terms.ngram_frequency(df, "id", {"f": F.col("s")}, max_n, delivery=F.col("d"), buckets=3).collect()}
+        assert got == brute(rows, max_n)
