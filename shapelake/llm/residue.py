@@ -1,27 +1,29 @@
 """Template residue and error-page text (problem 8).
 
-Method: one multi-pattern automaton runs once over each text and reports every phrase of all lists below,
-in all their languages: openings of template slots, filler, standing instructions, error messages, script
-and browser-check notices, page furniture. Slots and filler are verified at their hits; a text that is
-nothing but messages and furniture is found by coverage, the share of its letters inside matched phrases.
-
-The work is a projection: no shuffle, no state, each text whole, however long. The automaton is built once
-per Python worker from the phrase lists, which are parameters of bounded size.
+Method: one multi-pattern automaton runs once over each text and reports the openings of template slots, bad
+values, the literals of filler and of instructions, and the literals of error messages and notices, in all their
+languages. What the literals stand for is verified at their hits. A text that is nothing but messages is found by
+coverage: the share of its letters inside message sentences, the words of web messages, and page furniture.
+
+The wording (``wording``) comes from public default pages and common forms, not from a corpus; names of pages,
+products and cases need not be known. The work is a projection: no shuffle, no state, each text whole, however
+long, and linear in its length. The automaton is built once per Python worker.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
 import pyarrow as pa
+import regex as re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shapelake.llm import wording
+
 # Names a template gives its values; they tell a slot from a quotation, a tag or a formula where the
 # delimiters alone don't (« », < >, $ $, : :, { }).
 SLOT_NAMES = """action amount case case_id case_name cause change clock count date decision delta digest duration_ms effect
@@ -31,28 +33,27 @@ reviewer_name role ruling runner score sha256 size stage stage_name state time t
 width_height name title author email address city country company product price url id id_number user user_name
 username first_name last_name full_name phone subject body description summary placeholder variable field key""".split()
 
-# Opening, closing, and whether the delimiters alone make a slot (else the name must be a slot name).
+# Opening, closing, and what stands between: any expression (paths, hyphens, filters, letters of any script), a
+# statement, any name, one identifier, or a name of a slot.
 SLOT_FORMS = [
-    ("{{", "}}", True),
-    ("${", "}", True),
-    ("#{", "}", True),
-    ("<%=", "%>", True),
-    ("<insert ", ">", True),
-    ("[insert ", "]", True),
-    ("[[", "]]", True),
-    ("@@", "@@", True),
-    ("__", "__", True),
-    ("%(", ")s", True),
-    ("{", "}", False),
-    ("<", ">", False),
-    ("«", "»", False),
-    ("$", "$", False),
-    ("%", "%", False),
-    (":", ":", False),
-    ("{%", "%}", True),
+    ("{{", "}}", "expression"),
+    ("${", "}", "expression"),
+    ("#{", "}", "expression"),
+    ("<%=", "%>", "expression"),
+    ("{%", "%}", "statement"),
+    ("<insert ", ">", "name"),
+    ("[insert ", "]", "name"),
+    ("@@", "@@", "name"),
+    ("[[", "]]", "expression"),
+    ("__", "__", "name"),
+    ("%(", ")s", "name"),
+    ("{", "}", "known"),
+    ("<", ">", "known"),
+    ("«", "»", "known"),
+    ("$", "$", "known"),
+    ("%", "%", "known"),
+    (":", ":", "known"),
 ]
-# Forms whose inside may be an expression: paths, hyphens, filters, letters of any script.
-EXPRESSIONS = {"{{", "${", "#{", "<%=", "[["}
 SLOT_TAILS = [" to be filled in)", " here]"]  # (x to be filled in), [x here]
 
 # Values no writer leaves in a finished text.
@@ -73,39 +74,6 @@ SPEAKS_OF_SLOTS = [
     "テンプレート",
 ]
 
-# Whole phrases of filler.
-FILLER = [
-    "lorem ipsum",
-    "this is placeholder copy",
-    "example sentence for layout only",
-    "sample paragraph",
-    "replace this with the real description",
-    "the quick gray lynx hops across",
-    "the quick brown fox jumps over",
-    "foo bar foo bar",
-    "your text goes here",
-    "your text here",
-    "insert text here",
-    "text goes here",
-    "dummy text goes here",
-    "blindtext.",
-    "blindtext blindtext",
-    "mustertext.",
-    "mustertext mustertext",
-    "hier steht später der text",
-    "hier steht ein text",
-    "dies ist ein platzhalter",
-    "aquí va la descripción",
-    "aquí va el texto",
-    "texto de relleno.",
-    "texto de ejemplo.",
-    "サンプルテキスト。",
-    "ここに本文が入ります",
-    "ここに文章が入ります",
-    "この文章はダミーです。",
-    "説明文を入力してください。",
-    "ここにテキストを入力してください。",
-]
 # Words whose mere run (this many in a row) is filler.
 FILLER_RUNS = {"text": 5, "blah": 3, "bla": 3, "asdf": 3, "qwerty": 3, "xxxx": 3, "xxx": 3, "test": 5, "foo": 4, "abc": 4, "word": 5}
 # The traditional filler's vocabulary; a run of six of these words, outside quotes, is filler.
@@ -117,222 +85,43 @@ culpa qui officia deserunt mollit anim id est laborum labor""".split()
 )
 LATIN_RUN = 6
 
-# Instructions that count where they are a line of their own.
-INSTRUCTIONS = [
-    "[write here]",
-    "click to edit text",
-    "click to edit",
-    "add a short summary",
-    "add a summary here",
-    "describe the outcome",
-    "n/a – to be written",
-    "n/a - to be written",
-    "to be written",
-    "to be completed",
-    "write your text here",
-    "enter text here",
-    "bitte text eingeben",
-    "hier text einfügen",
-    "escriba aquí",
-]
-
-# Messages that alone make a text an error page.
-ERRORS = [
-    "page not found",
-    "not found",
-    "bad gateway",
-    "forbidden",
-    "access denied",
-    "internal server error",
-    "internal error",
-    "gateway time-out",
-    "gateway timeout",
-    "service temporarily unavailable",
-    "service unavailable",
-    "down for maintenance",
-    "too many requests",
-    "session expired",
-    "token expired",
-    "report unavailable",
-    "something went wrong",
-    "something broke on our side",
-    "this page isn't working right now",
-    "we're sorry",
-    "oops!",
-    "no such case",
-    "slot queue is full",
-    "upstream timed out",
-    "we can't find that case",
-    "we can't find that page",
-    "the page you asked for is not here",
-    "this report has been archived and cannot be opened any more",
-    "the preview could not be loaded",
-    "the link you followed has expired",
-    "the server took too long to respond",
-    "the gateway got no valid answer from the worker",
-    "you have been rate limited",
-    "your sign-in has timed out",
-    "you do not have permission to view this report",
-    "all slots are busy, retry after",
-    "planned work until",
-    "it may have been moved or removed",
-    "error 400",
-    "error 401",
-    "error 403",
-    "error 404",
-    "error 410",
-    "error 429",
-    "error 500",
-    "error 502",
-    "error 503",
-    "error 504",
-    "fehler 404",
-    "seite nicht gefunden",
-    "die angeforderte seite existiert nicht mehr",
-    "zugriff verweigert",
-    "ihre sitzung ist abgelaufen, bitte melden sie sich neu an",
-    "der dienst ist zurzeit nicht erreichbar",
-    "bitte versuchen sie es später erneut",
-    "página no encontrada",
-    "vuelva a la página de inicio",
-    "acceso denegado",
-    "inicie sesión de nuevo",
-    "servicio no disponible temporalmente",
-    "inténtelo más tarde",
-    "ページが見つかりません",
-    "お探しのページは移動または削除された可能性があります",
-    "サーバーエラーが発生しました",
-    "管理者にお問い合わせください",
-    "この画面を表示する権限がありません",
-    "ログインし直してください",
-    "ただいまアクセスが集中しております",
-    "しばらくしてから再度お試しください",
-]
-# Notices about scripts or browser checks.
-NOTICES = [
-    "please enable",
-    "you need to turn on",
-    "in your browser to use",
-    "works only in a browser with",
-    "does not run",
-    "appears to be switched off in your browser",
-    "turn it on and reload",
-    "must be allowed",
-    "without that",
-    "on to continue",
-    "if nothing happens, allow",
-    "doesn't work properly without",
-    "does not work properly without",
-    "<noscript>",
-    "</noscript>",
-    "this site works best with javascript enabled",
-    "cookies help us to keep you signed in",
-    "checking your browser before opening",
-    "checking your browser",
-    "please wait while we verify that you are not a robot",
-    "verify you are human",
-    "bitte aktivieren sie javascript, um",
-    "um die arbeitsfläche zu sehen",
-    "diese anwendung benötigt skripte",
-    "ihr browser hat sie abgeschaltet",
-    "active javascript para ver este panel",
-    "esta aplicación necesita scripts para funcionar",
-    "このページを表示するにはjavascriptを有効にしてください",
-    "お使いのブラウザではスクリプトが無効になっています",
-    "ブラウザを確認しています",
-    "しばらくお待ちください",
-    "設定をご確認ください",
-]
-# Page furniture and the small words of messages: covered, but no evidence by themselves.
-FURNITURE = [
-    "skip to content · search · sign in",
-    "skip to content",
-    "skip to footer",
-    "menu reports downloads help",
-    "back to list print share",
-    "home | cases | gates | baselines | about",
-    "workspace / reviews / board",
-    "workspace / reviews / cases",
-    "workspace / reviews /",
-    "powered by report server",
-    "help · imprint · privacy",
-    "privacy · terms",
-    "reload report a problem",
-    "minimal board",
-    "contact support",
-    "contact the owner of the workspace",
-    "if the problem stays, tell the administrator",
-    "return to start page",
-    "clear the cache and reload",
-    "check the address or go back to the list",
-    "please sign in again to continue",
-    "try again in a few minutes",
-    "cookies are needed as well",
-    "scripts and cookies must be allowed",
-    "and cookies must be allowed",
-    "for this site and reload",
-    "stays hidden",
-    "cannot be shown",
-    "switched on",
-    "your browser",
-    "to view",
-    "enabled",
-    "requires",
-    "loading",
-    "sorry",
-    "turn ",
-    "error",
-    "seconds",
-    "request_id",
-    "request",
-    "incident",
-    "trace",
-    "vorgang",
-    "(ref.",
-    "ref.",
-    "id:",
-    "detail",
-    "status",
-    "title",
-    "message",
-    "code",
-    "http",
-    "html",
-    "head",
-    "body",
-    "help",
-    "javascript",
-    "client-side scripts",
-    "scripting",
-    "scripts",
-    "js",
-    "this page",
-    "this app",
-    "this board",
-    "this site",
-    "the workspace",
-    "the case viewer",
-    "the gate overview",
-    "the comparison slider",
-    "in a browser with",
-    "so the",
-    " so ",
-]
 COVERAGE = 0.85
 
+# Of a sentence's letters, what words of messages must cover: in an error that counts by itself, in a sentence beside
+# such an error, in a notice with what it is about, and in a notice without that (less if it plainly asks).
+ERROR_SHARE = 0.74
+SENTENCE_SHARE = 0.6
+NOTICE_SHARE = 0.7
+NOTICE_OWN = 0.6
+ASKING_OWN = 0.4
+
 _SPACES = re.compile(r"[^\S\n]+")
-_NAME = re.compile(r"[a-z0-9_]+(?: [a-z0-9_]+){0,4}")
-_PATH = r"(?!\d)\w+(?:[.\-]\w+|\[\w+\])*"
-_EXPRESSION = re.compile(rf"[-$@.]? ?{_PATH}(?: {_PATH}){{0,4}}(?:\(\))?(?: ?\| ?{_PATH}(?: ?[:(][^\n{{}}|]*)?)* ?-?")
-_STATEMENT = re.compile(r"-? ?/?(?!\d)\w+(?: [^\n{}%]*)?-?")
+_W = r"[\w\p{M}]"
+_NAME = r"[a-z0-9_]+(?: [a-z0-9_]+)*+"
+_ANY_NAME = rf"(?!\d){_W}++(?: {_W}++)*+"
+_PATH = rf"(?!\d){_W}++(?:[.\-]{_W}++|\[{_W}++\])*+"
+_INSIDE = {
+    "expression": rf"[-$@.]? ?(?:{_PATH}(?: {_PATH})*+(?:\(\))?(?: ?\| ?{_PATH}(?: ?[:(][^\n{{}}|]*+)?)*+|{_NAME})",
+    "statement": r"-? ?/?(?!\d)\w++(?: [^\n{}%]*+)?",
+    "name": rf"(?:{_NAME}|{_ANY_NAME})",
+    "known": _NAME,
+}
+_SLOTS = [re.compile(rf" ?({_INSIDE[kind]}) ?-?{re.escape(closing)}") for _, closing, kind in SLOT_FORMS]
 _LETTER_RUN = re.compile(r"[^\W\d_]+")
 _HEX = re.compile(r"(?<![0-9a-z])(?=[0-9a-f]*\d)[0-9a-f]{4,64}(?![0-9a-z])")
 _WORD = re.compile(r"[^\W_]+")
+_TERM = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 _SENTENCE = re.compile(r"[\n。]|[.!?](?=\s)")
+_PARTS = re.compile(r"[^.!?…;。！？]+(?:[.!?…;。！？]+(?!\s|$)[^.!?…;。！？]+)*[.!?…;。！？]*")
 _INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
 _QUOTES = [('"', '"'), ("“", "”"), ("「", "」"), ("„", "“")]
-_TAGS = re.compile(r"</?(?:html|head|title|body|h[1-6]|hr|p|noscript|div|span|br)\b[^<>\n]*>")
+_TAGS = re.compile(r"<[/!]?[a-z][^<>\n]*>")
 _ASSIGNED = re.compile(r"(?:^|\s)(?:export |set |declare )?([a-z_][a-z0-9_]*)=", re.M)
+_LOG = re.compile(r"\W*\d{4}-\d\d-\d\d[t ]\d\d:\d\d")
+_JSON_MARKS = re.compile(r'[{}\[\]",]+')
+_MENU = re.compile(r" ?[|·•/»›«>—] ?")
+_ASIAN = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
+_TAIL_OPENS = {" to be filled in)": "(", " here]": "["}
 
 
 def normalize(text: str) -> str:
@@ -352,18 +141,16 @@ class Detector:
         found: dict[str, set] = {}
         for k, (opening, _, _) in enumerate(SLOT_FORMS):
             found.setdefault(opening, set()).add(("slot", k))
+        for k, (_, _, anchors, _) in enumerate(wording.PROMPTS):
+            for p in anchors:
+                found.setdefault(p, set()).add(("prompt", k))
         for k, phrases in {
             "tail": SLOT_TAILS,
             "bad": BAD_VALUES,
             "speaks": SPEAKS_OF_SLOTS,
-            "filler": FILLER,
             "run": [f"{w} {w} {w}" for w in FILLER_RUNS],
-            "instruction": INSTRUCTIONS,
-            "error": ERRORS,
-            "notice": NOTICES,
-            "furniture": FURNITURE,
             "latin": sorted(w for w in LATIN if len(w) >= 5),
-            "code": ["`"],
+            "message": wording.ANCHORS,
         }.items():
             for p in phrases:
                 found.setdefault(p, set()).add((k, None))
@@ -427,32 +214,31 @@ class Detector:
     # -- checks
 
     def _slot(self, t: str, k: int, at: int) -> tuple[int, int, str] | None:
-        opening, closing, plain = SLOT_FORMS[k]
-        if not plain and at and (t[at - 1] in "{$#<%[«:" or (opening in ":%$" and (t[at - 1].isalnum() or t[at - 1] == opening))):
+        """The slot opened at ``at``: whatever stands between must be of the form's kind, however long. The patterns
+        fail at the first letter that can't be inside, so a text of openings costs no more than its length."""
+        opening, closing, kind = SLOT_FORMS[k]
+        if kind == "known" and at and (t[at - 1] in "{$#<%[«:" or (opening in ":%$" and (t[at - 1].isalnum() or t[at - 1] == opening))):
             return None
         start = at + len(opening)
-        end = t.find(closing, start, start + (120 if opening in EXPRESSIONS or opening == "{%" else 60))
-        if end < 0:
+        m = _SLOTS[k].match(t, start)
+        if not m or not m.group(1):
             return None
-        name = t[start:end].strip()
-        if not _NAME.fullmatch(name):
-            inside = "".join(c for c in name if unicodedata.category(c)[0] != "M")  # vowel signs are no word characters
-            if not (_EXPRESSION if opening in EXPRESSIONS else _STATEMENT if opening == "{%" else _NAME).fullmatch(inside):
-                return None
-        if not plain:
+        name = m.group(1).strip()
+        if kind == "known":
             key = name.replace(" ", "_")
             if key not in self._names and "_" not in name and not (opening == "{" and key.isdigit()):
                 return None
-            if opening in ":%$" and (end != start + len(t[start:end].strip()) or t[start] == " "):
+            if opening in ":%$" and m.end() != start + len(name) + len(closing):
                 return None
-        return at, end + len(closing), name
+        return at, m.end(), name
 
     def residue(self, t: str, hits: list) -> tuple[int, int] | None:
         """Where a slot was left open or badly filled, or filler or an instruction stands in the place of content."""
         code = quotes = assigned = None
-        speaks = [a for a, _, kind, _ in hits if kind == "speaks"]
+        speaks = [(a, t[a:b]) for a, b, kind, _ in hits if kind == "speaks"]
+        tried: set[tuple[int, int]] = set()  # (prompt, line) pairs that were looked at
 
-        def spoken_of(a: int, b: int) -> bool:
+        def spoken_of(a: int, b: int, but: str = "") -> bool:
             nonlocal code
             code = self._code(t) if code is None else code
             if self._inside(code, a):
@@ -460,14 +246,15 @@ class Detector:
             if not speaks:
                 return False
             s, e = self._sentence(t, a, b)
-            return any(s <= x < e for x in speaks)
+            return any(s <= x < e and w != but for x, w in speaks)
 
         def in_quotes(a: int) -> bool:
             nonlocal quotes
             quotes = self._quoted(t) if quotes is None else quotes
             return self._inside(quotes, a)
 
-        latin_end, latin_run, latin_start = -9, 0, 0
+        tail_end = 0
+        latin_end, words, latin, latin_hits = -99, 0, 0, 0
         for a, b, kind, k in hits:
             if kind == "slot":
                 slot = self._slot(t, k, a)
@@ -478,9 +265,10 @@ class Detector:
                             continue
                     return a, b
             elif kind == "tail":
-                opening = "(" if t[b - 1] == ")" else "["
-                s = t.rfind(opening, max(0, a - 40), a)
-                if s >= 0 and _NAME.fullmatch(t[s + 1 : a].strip()) and t[s + 1 : a].strip() not in ("write",) and not spoken_of(s, b):
+                s = t.rfind(_TAIL_OPENS[t[a:b]], max(tail_end, t.rfind("\n", tail_end, a) + 1), a)
+                tail_end = b
+                name = t[s + 1 : a].strip()
+                if s >= 0 and re.fullmatch(_NAME, name) and name != "write" and not spoken_of(s, b):
                     return a, b
             elif kind == "bad":
                 word = t[a:b]
@@ -498,64 +286,176 @@ class Detector:
                     continue
                 if not spoken_of(a, b) and not in_quotes(a):
                     return a, b
-            elif kind == "filler":
-                if not in_quotes(a) and not spoken_of(a, b):
-                    return a, b
+            elif kind == "prompt":
+                start = t.rfind("\n", 0, a) + 1
+                if (k, start) in tried:
+                    continue
+                tried.add((k, start))
+                end = t.find("\n", b)
+                at = self._prompt(t, k, start, len(t) if end < 0 else end, in_quotes, spoken_of)
+                if at:
+                    return at
             elif kind == "run":
                 word = t[a:b].split(" ", 1)[0]
                 if (a == 0 or not t[a - 1].isalnum()) and not in_quotes(a):
                     n, i = 0, a
-                    while t.startswith(word, i):
+                    while t.startswith(word, i) and n < FILLER_RUNS[word]:
                         n, i = n + 1, i + len(word)
                         while i < len(t) and t[i] in " \n.,":
                             i += 1
                     if n >= FILLER_RUNS[word] and not t[a + len(word)].isalnum():
                         return a, b
-            elif kind == "instruction":
-                line = t[t.rfind("\n", 0, a) + 1 : b].lstrip("-*•>#0123456789.) ")
-                rest = t[b : t.find("\n", b) if t.find("\n", b) >= 0 else len(t)].strip(" .…")
-                if not rest and line == t[a:b] or (rest == "" and re.fullmatch(r"[\w ]{1,24}: " + re.escape(t[a:b]), line)):
-                    return a, b
             elif kind == "latin":
                 if (a and t[a - 1].isalpha()) or t[b : b + 1].isalpha():
                     continue
                 if a - latin_end > 24:
-                    latin_run, latin_start = 0, a
-                latin_run, latin_end = latin_run + 1, b
-                if latin_run >= LATIN_RUN // 2 and not in_quotes(a):
-                    words = _WORD.findall(t, latin_start, t.find("\n", b) if t.find("\n", b) >= 0 else len(t))[:12]
-                    if len(words) >= LATIN_RUN and sum(w in LATIN for w in words) >= 0.75 * len(words):
+                    words = latin = latin_hits = 0
+                else:
+                    between = _WORD.findall(t, latin_end, a)
+                    words, latin = words + len(between), latin + sum(w in LATIN for w in between)
+                words, latin, latin_hits, latin_end = words + 1, latin + 1, latin_hits + 1, b
+                if latin_hits >= LATIN_RUN // 2 and not in_quotes(a):
+                    more = _WORD.finditer(t, b, min(len(t), b + 80)) if words < LATIN_RUN else ()
+                    following = [m.group() for m, _ in zip(more, range(LATIN_RUN - words), strict=False)]
+                    n, good = words + len(following), latin + sum(w in LATIN for w in following)
+                    if n >= LATIN_RUN and good >= 0.75 * n:
                         return a, b
         return None
 
-    def only_messages(self, t: str, hits: list) -> bool:
-        """Nothing but error messages or notices, with or without page furniture: coverage of the letters."""
-        if not any(kind in ("error", "notice") for _, _, kind, _ in hits):
-            return False
+    @staticmethod
+    def _prompt(t: str, k: int, start: int, end: int, in_quotes, spoken_of) -> tuple[int, int] | None:
+        """Filler or an instruction in one line: filler anywhere outside quotes, an instruction as the whole line,
+        apart from list marks and a label before it."""
+        kind, pattern, _, whole = wording.PROMPTS[k]
+        if not whole:
+            for m in pattern.finditer(t, start, end):
+                if not in_quotes(m.start()) and not spoken_of(m.start(), m.end(), "placeholder"):
+                    return m.span()
+            return None
+        line = t[start:end].strip(" .…").lstrip("-*•>#0123456789.) ")
+        label = re.match(r"[\w ]{1,24}: ", line)
+        for part in (line, line[label.end() :] if label else ""):
+            if part and pattern.fullmatch(part):
+                return start, end
+        return None
+
+    def only_messages(self, t: str, spots: list[int]) -> bool:
+        """Nothing but error messages or notices, with or without page furniture, by coverage of the letters. Stops
+        as soon as what is not covered is too much for the text's length. ``spots`` are the places of the automaton's
+        hits: a sentence without any can't be a message."""
+        most = (1 - self.coverage) * len(t)
         quotes = self._quoted(t)
-        spans, strong = [], False
-        for a, b, kind, _ in hits:
-            if kind in ("error", "notice", "furniture") and not self._inside(quotes, a):
-                if b < len(t) and t[b - 1].isascii() and t[b - 1].isalpha() and t[b].isascii() and t[b].isalpha():
-                    continue
-                if a and t[a].isascii() and t[a].isalpha() and t[a - 1].isascii() and t[a - 1].isalpha():
-                    continue
-                row = t[t.rfind("\n", 0, a) + 1 : a + 1]
-                if row.startswith("|") and row.count("|") >= 1:
-                    continue
-                spans.append((a, b))
-                strong |= kind != "furniture"
-        if not strong:
+        total = rest = labels = 0
+        strong = False
+        at = 0
+        for line in t.split("\n"):
+            start, at = at, at + len(line) + 1
+            if not line.strip():
+                continue
+            row = line.startswith("|") and line.count("|") > 1
+            as_json = line[0] in "{[" and line[-1] in "}]"
+            plain = _TAGS.sub("\n", _JSON_MARKS.sub("\n", line.replace("_", " ")) if as_json else line)
+            no_message = row or bool(_LOG.match(line))
+            for piece in plain.split("\n"):
+                if not no_message and not as_json and piece == line and self._furniture(piece.strip()):
+                    n = sum(map(len, _TERM.findall(piece)))
+                    known = all(w in wording.NAVIGATION for w in _TERM.findall(piece)) or len(_MENU.split(piece.strip(" «»|/·•"))) > 1
+                    if known or labels + n <= 40:
+                        total, labels = total + n, labels if known else labels + n
+                        continue
+                for m in _PARTS.finditer(piece):
+                    sentence = m.group()
+                    a, b = start + m.start(), start + m.end()
+                    hit = piece != line or bisect_left(spots, a) < bisect_left(spots, b)
+                    letters, known = self._letters(sentence, hit and not no_message)
+                    if not letters:
+                        continue
+                    total += letters
+                    if no_message or not hit:
+                        directive = not no_message and self._order(sentence, known, letters)
+                        asks = not no_message and wording.ASIAN_END.search(sentence.strip(" 。!！?？"))
+                        rest += 0 if directive or asks else letters - known * (not no_message)
+                        continue
+                    quoted, speaks = 0, False
+                    outside = sentence
+                    if quotes and not as_json and piece == line:
+                        for x, y in quotes:
+                            if x < b and y > a:
+                                x, y = max(x, a) - a, min(y, b) - a
+                                quoted += sum(map(len, _TERM.findall(sentence[x:y])))
+                                outside = outside[:x] + " " * (y - x) + outside[y:]
+                                speaks |= wording.is_message(sentence[x:y])
+                    asian = len(_ASIAN.findall(sentence))
+                    if speaks or quoted > 0.3 * letters:
+                        rest += letters
+                    elif asian > 0.2 * letters:
+                        if wording.is_message(outside) and letters <= 80:
+                            strong = True
+                        elif not wording.ASIAN_END.search(sentence.strip(" 。!！?？")):
+                            rest += letters
+                    elif self._evidence(outside, known, letters):
+                        strong = True
+                    elif known >= SENTENCE_SHARE * letters and wording.is_message(outside) or self._order(outside, known, letters):
+                        pass  # goes with a message, but is none by itself
+                    else:
+                        rest += letters - known
+                if rest > most:
+                    return False
+        return strong and rest <= (1 - self.coverage) * total
+
+    @staticmethod
+    def _about(sentence: str) -> int:
+        """Letters of what a notice or an order is about that aren't words of messages."""
+        return sum(len(w) for m in wording.OBJECT.finditer(sentence) for w in _TERM.findall(m.group(1)) if w not in wording.VOCABULARY and w not in wording.NAVIGATION)
+
+    def _evidence(self, sentence: str, known: int, letters: int) -> bool:
+        """An error, or a notice whatever it is about, that makes a text a message."""
+        if known >= ERROR_SHARE * letters and wording.is_message(sentence):
+            return True
+        notice = wording.is_notice(sentence) or wording.CHECK.search(sentence)
+        return bool(notice) and known + self._about(sentence) >= NOTICE_SHARE * letters and known >= (ASKING_OWN if wording.ASKING.search(sentence) else NOTICE_OWN) * letters
+
+    def _order(self, sentence: str, known: int, letters: int) -> bool:
+        """What a page tells its reader to do, or that it is loading."""
+        return bool(wording.LOADING.match(sentence) or (wording.DIRECTIVE.match(sentence) and known + self._about(sentence) >= NOTICE_SHARE * letters and known >= ASKING_OWN * letters))
+
+    @staticmethod
+    def _letters(sentence: str, patterns: bool) -> tuple[int, int]:
+        """Letters of a sentence, ids left out, and those in words of web messages or in what the patterns match."""
+        text = _HEX.sub(lambda m: " " * len(m.group()), sentence)
+        letters = known = 0
+        open_ = []
+        for m in _TERM.finditer(text):
+            w = m.group()
+            letters += len(w)
+            if w in wording.VOCABULARY or w in wording.NAVIGATION:
+                known += len(w)
+            elif "'" in w and any(x in wording.VOCABULARY for x in w.split("'")):
+                known += sum(len(x) for x in w.split("'") if x in wording.VOCABULARY)
+            else:
+                open_.append(m.span())
+        if open_ and patterns and known > 0.2 * letters:
+            spans, i = wording.covered(text), 0
+            for a, b in open_:
+                while i < len(spans) and spans[i][1] <= a:
+                    i += 1
+                known += b - a if any(x < b and y > a for x, y in spans[i : i + 4]) else 0
+        return letters, known
+
+    @staticmethod
+    def _furniture(line: str) -> bool:
+        """A menu (several short labels), a line of navigation words, or one short label."""
+        if line[-1:] in ".!?。！？:" or ": " in line:
+            return False
+        parts = [p for p in _MENU.split(line.strip(" «»|/·•")) if p]
+        words = _TERM.findall(line)
+        if not words:
+            return False
+        if wording.is_message(line):
             return False
-        spans += [m.span() for m in _HEX.finditer(t)] + [m.span() for m in _TAGS.finditer(t)]
-        spans.sort()
-        total = sum(m.end() - m.start() for m in _LETTER_RUN.finditer(t))
-        rest, at = 0, 0
-        for a, b in [*spans, (len(t), len(t))]:
-            if a > at:
-                rest += sum(m.end() - m.start() for m in _LETTER_RUN.finditer(t, at, a))
-            at = max(at, b)
-        return total > 0 and 1 - rest / total >= self.coverage
+        if len(parts) > 1 and all(len(p.split()) <= 3 for p in parts):
+            return True
+        return all(w in wording.NAVIGATION for w in words) or (len(words) <= 3 and not any(c.isdigit() for c in line))
 
     def kind(self, text: str | None) -> str | None:
         """'residue', 'message' or None. Null, empty, blank and merely short texts are no case."""
@@ -567,7 +467,8 @@ class Detector:
             return None
         if self.residue(t, hits):
             return "residue"
-        return "message" if self.only_messages(t, hits) else None
+        spots = sorted(a for a, _, kind, _ in hits if kind == "message")
+        return "message" if spots and self.only_messages(t, spots) else None
 
 
 def flag_residue(df: DataFrame, doc_id: str = "doc_id", text: str = "text", coverage: float = COVERAGE) -> DataFrame:
