@@ -30,11 +30,11 @@ SLOT_NAMES = """action amount case case_id case_name cause change clock count da
 engine_version environment finding floor gate gate_name limit metric metric_label metric_value n next_step
 number_of_regions operation outcome part part_name phase phase_no quality reason result review_date reviewer
 reviewer_name role ruling runner score sha256 size stage stage_name state time total value verb verdict version
-width_height name title author email address city country company product price url id id_number user user_name
+width_height name title author email address city country customer company product price url id id_number user user_name
 username first_name last_name full_name phone subject body description summary placeholder variable field key""".split()
 
 # Opening, closing, and what stands between: any expression (paths, hyphens, filters, letters of any script), a
-# statement, any name, one identifier, or a name of a slot.
+# statement, any name, a name of a slot, or several words of such names.
 SLOT_FORMS = [
     ("{{", "}}", "expression"),
     ("${", "}", "expression"),
@@ -47,6 +47,7 @@ SLOT_FORMS = [
     ("[[", "]]", "expression"),
     ("__", "__", "name"),
     ("%(", ")s", "name"),
+    ("[", "]", "words"),
     ("{", "}", "known"),
     ("<", ">", "known"),
     ("«", "»", "known"),
@@ -105,6 +106,7 @@ _INSIDE = {
     "statement": r"-? ?/?(?!\d)\w++(?: [^\n{}%]*+)?",
     "name": rf"(?:{_NAME}|{_ANY_NAME})",
     "known": _NAME,
+    "words": _NAME,
 }
 _SLOTS = [re.compile(rf" ?({_INSIDE[kind]}) ?-?{re.escape(closing)}") for _, closing, kind in SLOT_FORMS]
 _LETTER_RUN = re.compile(r"[^\W\d_]+")
@@ -224,6 +226,10 @@ class Detector:
         if not m or not m.group(1):
             return None
         name = m.group(1).strip()
+        if kind == "words":  # [customer name], but no link
+            parts = re.split("[ _]", name)
+            if len(parts) < 2 or t[m.end() : m.end() + 1] in ("(", "[") or not all(p in self._names for p in parts):
+                return None
         if kind == "known":
             key = name.replace(" ", "_")
             if key not in self._names and "_" not in name and not (opening == "{" and key.isdigit()):

@@ -39,30 +39,30 @@ _SUBJECT = {
 _FAILURE = {
     "en": r"not (?:be )?found|(?:can't|cannot|can not|couldn't|could not|unable to|not able to|failed to|didn't|did not|doesn't|does not|don't|do not|isn't|is not|are not|has not|"
     r"wasn't|was not|no longer|not) (?:find|locate|be|exist|exists|available|have (?:permission|access)|allowed|authori[sz]ed|respond|here|reach|connect|load|loaded|complete|process|"
-    r"handle|understand|retrieve|open|display|service|match|work|working|valid)|(?:un|not )available|unreachable|denied|refused|expired|(?:went|gone|go) wrong|broke|timed[ -]?out|time-?out|"
+    r"handle|understand|retrieve|open|display|service|match|work|working|valid)|(?:un|not )available|unreachable|denied|refused|expired|(?:went|gone|go|is) wrong|(?:technical|connection|some|experiencing) (?:difficult|issue|problem)\w*|took too long|(?:login|log-?in|sign-?in|authentication|registration|subscription|permission|access) (?:is )?required|(?:have|has|had) expired|not support\w*|(?:exception|failure|crash|outage) (?:has|occurred|was)|broke|timed[ -]?out|time-?out|"
     r"too long|too many|rate[ -]limit\w*|blocked|banned|moved|removed|deleted|renamed|archived|retired|(?:is|are|be|currently|temporarily) (?:down|offline|closed|busy|full|overloaded|restricted)|"
     r"down for|maintenance|no such|no valid|invalid|malformed|misconfigur\w*|unexpected(?:ly)?|overloaded|busy|is full|"
     r"(?:have|has|had|been|encountered|experiencing|occurred) (?:an? |some )?(?:\w+ )?(?:error|problem|issue|trouble)\w*|(?:error|problem|issue)s? (?:has |have )?(?:occurred|happened|while|processing)|"
-    r"try again|come back|check back|sign in again|log in again|permission|disallowed|prohibited|suspended|crashed|conflict|nothing (?:was )?(?:found|here)|(?:is|are) missing|page missing",
+    r"try again|come back|check back|sign in again|log in again|permission|disallowed|prohibited|suspended|crashed|conflict|nothing (?:was )?(?:found|here)|need to (?:sign|log) in|must (?:sign|log) in|be logged in|has (?:been )?(?:moved|changed|gone|left)|(?:is|are) missing|page missing",
     "de": r"nicht (?:gefunden|verfügbar|erreichbar|vorhanden|mehr|erlaubt|möglich|geladen|angezeigt|gestattet|berechtigt|beantwortet|bearbeitet)|existiert|verweigert|gesperrt|abgelaufen|fehlgeschlagen|"
-    r"aufgetreten|schiefgelaufen|schief gelaufen|wartung\w*|überlastet|zu viele|zu lange|versuchen sie|später|keine berechtigung|ungültig|entfernt|verschoben|gelöscht|unterbrochen|gestört|abgelehnt",
-    "es": r"no (?:encontrad[oa]|existe|disponible|se (?:ha |pudo |puede )?(?:encontr\w+|cargar|mostrar|procesar)|está disponible|responde|válid[oa]|permitid[oa]|tiene)|no se encuentra|denegad[oa]|rechazad[oa]|"
+    r"aufgetreten|schiefgelaufen|schief gelaufen|wartung\w*|überlastet|zu viele|zu lange|versuchen sie|später|keine (?:berechtigung|rechte|verbindung|antwort)|wartungsarbeiten|ungültig|entfernt|verschoben|gelöscht|unterbrochen|gestört|abgelehnt",
+    "es": r"error (?:interno|inesperado|desconocido)|no (?:encontrad[oa]|existe|disponible|se (?:ha |pudo |puede )?(?:encontr\w+|cargar|mostrar|procesar)|está disponible|responde|válid[oa]|permitid[oa]|tiene)|no se encuentra|denegad[oa]|rechazad[oa]|"
     r"caducad[oa]|expirad[oa]|ha (?:caducado|expirado|ocurrido|fallado)|salió mal|salido mal|mantenimiento|inténtelo|inténtalo|intente|demasiad[oa]s|tardó demasiado|prohibid[oa]|eliminad[oa]|movid[oa]|sobrecargad[oa]|de nuevo",
-    "fr": r"introuvable|n'existe (?:pas|plus)|n'a (?:pas|plus)|n'est (?:pas|plus)|pas (?:trouvée?|disponible|autorisée?|accessible)|ne (?:répond|peut|pouvons|fonctionne)|impossible|indisponible|inaccessible|refusée?|expirée?|interdite?|"
+    "fr": r"introuvable|en maintenance|a expiré|reconnecter|non (?:autorisée?|trouvée?|disponible)|n'existe (?:pas|plus)|n'a (?:pas|plus)|n'est (?:pas|plus)|pas (?:trouvée?|disponible|autorisée?|accessible)|ne (?:répond|peut|pouvons|fonctionne)|impossible|indisponible|inaccessible|refusée?|expirée?|interdite?|"
     r"s'est produite?|survenue?|mal passé|maintenance|réessaye[rz]|trop (?:de|longtemps)|invalide|supprimée?|déplacée?|échoué|surchargé|panne",
-    "it": r"non (?:trovat[oa]|esiste|disponibile|è (?:stat[oa]|disponibile|più)|autorizzat[oa]|valid[oa]|risponde|raggiungibile)|impossibile|negat[oa]|rifiutat[oa]|scadut[oa]|vietat[oa]|verificat[oa]|andato storto|"
+    "it": r"errore (?:imprevisto|interno|sconosciuto|generico)|non (?:trovat[oa]|esiste|disponibile|è (?:stat[oa]|disponibile|più)|autorizzat[oa]|valid[oa]|risponde|raggiungibile)|impossibile|negat[oa]|rifiutat[oa]|scadut[oa]|vietat[oa]|verificat[oa]|andato storto|"
     r"manutenzione|riprova\w*|tropp[eoia]|rimoss[oa]|spostat[oa]|eliminat[oa]|sovraccaric[oa]|irraggiungibile",
-    "pt": r"não (?:encontrad[oa]|existe|disponível|foi (?:possível|encontrad[oa])|está disponível|autorizad[oa]|tem|responde|pôde|pode)|indisponível|negad[oa]|recusad[oa]|expirad[oa]|expirou|proibid[oa]|ocorreu|deu errado|"
+    "pt": r"erro (?:interno|inesperado|desconhecido)|faça login|novamente|não (?:encontrad[oa]|existe|disponível|foi (?:possível|encontrad[oa])|está disponível|autorizad[oa]|tem|responde|pôde|pode)|indisponível|negad[oa]|recusad[oa]|expirad[oa]|expirou|proibid[oa]|ocorreu|deu errado|"
     r"correu mal|manutenção|tente|demasiad[oa]s|muit[oa]s (?:pedidos|solicitações)|removid[oa]|movid[oa]|excluíd[oa]|sobrecarregad[oa]|inválid[oa]",
-    "nl": r"niet (?:gevonden|beschikbaar|bereikbaar|bestaat|toegestaan|worden|meer|geladen|geldig)|bestaat niet|geweigerd|verlopen|verboden|opgetreden|misgegaan|mis gegaan|onderhoud|probeer|te veel|te lang|verwijderd|verplaatst|overbelast|ongeldig|geen toegang",
+    "nl": r"log opnieuw|opnieuw in|niet (?:gevonden|beschikbaar|bereikbaar|bestaat|toegestaan|worden|meer|geladen|geldig)|bestaat niet|geweigerd|verlopen|verboden|opgetreden|misgegaan|mis gegaan|onderhoud|probeer|te veel|te lang|verwijderd|verplaatst|overbelast|ongeldig|geen toegang",
     "ru": r"не (?:найден\w*|существует|доступ\w*|отвечает|удалось|может|разрешен\w*|работает)|недоступ\w*|запрещ[её]н\w*|отказан\w*|ист[её]к\w*|произошла|обслуживани\w*|попробуйте|повторите|слишком|удал[её]н\w*|перемещ[её]н\w*|перегружен\w*|устарел\w*",
 }
 # Scripts and cookies, and what is said of them in notices.
 _SCRIPT = r"javascript|java script|\bjs\b|client-side scripts?|scripts?|scripting|cookies?|skripte|scripte|skripten|guiones|secuencias de comandos|scripts|cookie|скрипт\w*|スクリプト|クッキー|脚本|자바스크립트|쿠키"
 _SWITCH = (
-    r"enabl\w+|activat\w+|turn(?:ed|ing)? (?:[\w-]+ ){0,3}o(?:n|ff)|switch(?:ed)? (?:[\w-]+ ){0,3}o(?:n|ff)|allow\w*|requir\w+|needs?|needed|disabled|without|block\w+|supports?|unsupported|must be|not (?:run|available|supported|enabled)|"
+    r"enabl\w+|activat\w+|turn(?:ed|ing)? (?:[\w-]+ ){0,3}o(?:n|ff)|switch(?:ed)? (?:[\w-]+ ){0,3}o(?:n|ff)|allow\w*|requir\w+|needs?|needed|disabled|without|block\w+|supports?|(?:not|doesn't|does not) support|unsupported|must (?:be|have)|have (?:\w+ )?(?:enabled|turned on)|not (?:run|available|supported|enabled)|"
     r"does not run|doesn't run|only (?:in|with)|help us|is off|are off|best with|work\w* properly|"
-    r"aktivier\w*|deaktiviert|abgeschaltet|ausgeschaltet|eingeschaltet|einschalten|benötigt\w*|erforder\w*|braucht|erlauben|zulassen|ohne|"
+    r"unterstützt|admite|soporta|supporte|prend pas en charge|supporta|suporta|ondersteunt|поддерживает|aktivier\w*|deaktiviert|abgeschaltet|ausgeschaltet|eingeschaltet|einschalten|benötigt\w*|erforder\w*|braucht|erlauben|zulassen|ohne|"
     r"activ\w+|habilit\w+|desactivad\w*|deshabilitad\w*|necesit\w+|requier\w+|permit\w+|sin|"
     r"désactivée?s?|nécessit\w+|nécessaires?|requis\w*|autoris\w+|sans|attiv\w+|abilit\w+|disattivat\w*|disabilitat\w*|richied\w+|necessari\w+|senza|consent\w+|"
     r"ativ\w+|desativad\w*|desabilitad\w*|precisa\w*|necess[áa]ri\w+|requer\w*|sem|"
@@ -98,7 +98,17 @@ ASIAN_COURTESY = r"(?:ください|下さい|주세요|십시오)$|^(?:请|請)"
 
 # Words of web messages, and the small words between them; what of a text they cover is no content. Named by language.
 _VOCABULARY = {
-    "en": """a about above access account action again all allow allowed already also am an and another any anything app application are as asked at automatically
+    "en": """accept active actually additional address administrative advice allowing appear appears appreciate apologies apologize apologise attempt attempting attempts attention authenticated authentication authorization authorized bad based
+    beyond bookmark bots busy cached cannot capacity case caused changed character characters choose closed compatible completing conditions configuration configured confirm console continuing country crash created credentials critical
+    currently data database days delete deleting detected developer difficulties directly displayed disconnected doing domain down download downtime during duplicate empty enabling endpoint ensure exceeded exception executing existing experience experiencing expect extension
+    external failure fails feature fetch files fix fixed forgot format forward gone great hang happening hours image immediately improve inactive inactivity inconvenience incompatible indicated installed interrupted invalid investigating issues item join
+    language latest launch left length like limited line list listed local location locate locked longer lookup malformed match matching member method mode modify navigate navigated network occurred occur opening outage overloaded parameter parameters part
+    patience payload pending please plugin preferences present previous privacy private proceed processing production protect protected protection provide public query quickly quota reached read ready reconnect recent regarding region rejected related
+    released renamed replaced reporting repeated resolve resolved resource restart restore restricted resume resubmit retrieve retrieving review rights route safe save saved schema secure seem select sending setting shortly show sign signal simply slow slightly software
+    solve source space specific spelling standard stand still store submit submitted subscribe subscription success suggest supports suspicious syntax tab technical terminated terms thank thanks throttled timeout title today together tools top trace traffic
+    transferred typed typing unauthorized unknown unreachable unresponsive unsupported upgrading valid value values various verification verifying viewing violation visited visiting waiting warning whoops window withdrawn write wrote
+    ad ads adblock adblocker advertising blocker extensions firewall vpn popup popups reload connected offline online wifi internet dns hostname certificate ssl tls
+    a about above access account action again all allow allowed already also am an and another any anything app application are as asked at automatically
     available back be because been before below best better blocked broke browser browsers but by button cache call can can't cannot check checking clear click client close
     code come complete connect connection contact content continue cookie cookies correct correctly could couldn't currently customer deleted denied description detail details
     device did didn't different directory disabled do document does doesn't don't down due either email enable enabled encountered enter error errors exist exists expired
@@ -113,29 +123,56 @@ _VOCABULARY = {
     there these they thing things this those time timed to token too tried trouble try trying turn turned type uh unable unavailable under understand unexpected unfortunately unknown until up updated upgrade uri url us
     use used user using valid verify version view visit wait was way we we're web website went what when where which while who why will with within without work working works
     would wrong yet you you're your yours""",
-    "de": """aber alle als an anderen anfrage angeforderte angeforderten anmelden anwendung auch auf aufgerufene aufgetreten aus bei beim benötigt berechtigung besuchen bitte browser cookies das dass dem
+    "de": """aktiviert aktivieren aktuell aktualisieren anmeldung anmelden anzeigen anzuzeigen arbeiten ausgeführt authentifizierung bald bearbeitet bearbeitung beantworten beendet behoben bekannt berechtigungen bereits besteht betreiber daten datei derzeit einmal einstellungen
+    entschuldigen entschuldigung erhalten erlauben erreichbar erreichen erst falsch fehlerhaft fehlermeldung fortfahren fortzufahren funktioniert funktionieren geben gerade gesucht gesuchte gesuchten gültig hilfe inhalte internet jetzt kehren klicken konto korrekt ladefehler
+    leider lösen manuell melden mindestens minuten moderne momentan müssen muss nachricht neue nochmals nutzen nutzung nutzer ordnungsgemäß passwort produkt richtig richtige schließen schon sekunden sicher sicherheit sobald sollte sondern stehen steht support technische
+    technischer überlastet überprüfen unbekannt unbekannter ungültige unerwartet unterstützt update verbindung vermutlich verständnis versuch verweigert vielen dank vollständig vorgenommen wartungsarbeiten webseite website weiterleitung weitere wende wollen ziel zugreifen zulassen zuvor
+    aber alle als an anderen anfrage angeforderte angeforderten anmelden anwendung auch auf aufgerufene aufgetreten aus bei beim benötigt berechtigung besuchen bitte browser cookies das dass dem
     den der des die dienst dies diese diesen dieser dieses du durch ein eine einem einen einer eingegebene entfernt er erforderlich erneut es etwas existiert fehler für gefunden gehen gelöscht geladen hat
     haben hier ich ihr ihre ihrem ihren im in inhalt interner ist ja javascript kann keine kein konnte können kontaktieren laden leider link mehr melden mit moment möchten nach neu nicht noch oder ohne
     problem prüfen seite seiten server serverfehler sich sie sind sitzung skripte später startseite suche tut uns um und unerwarteter ungültig unter verfügbar verschoben versuchen verwenden von vorgang vorübergehend
     warten wartung warten war was wegen weiter wenden wenn werden wie wieder wir wird wurde zu zugriff zum zur zurück zurzeit""",
-    "es": """a acceder acceso actualice al algo ahora antes aplicación archivo asegúrese ayuda busca buscando caducado cargar compruebe con conexión contacte cookies cuenta de del desactivado después dirección disculpe
+    "es": """aceptar activar activado activo actual actualizar actualmente administrador admite agotado alguna aquí atrás autorizado autorización ayudar bloqueado brevedad campo cargando cargó cerrar clic código completar comprobar conectar configuración consulta continuar contenido contraseña
+    correcta correctamente correo creemos datos debe deben denegado desactivar dificultades disponible disculpas durante ejecutar eliminado encontró encontramos encuentra encontrar escriba esperar espere estamos existen experimentando falló fue función habilitado habilite haga hora identificado inesperado
+    inicia iniciar instante intentar intentarlo internet lamentable minutos molestias momentáneamente nada necesario nueva nuevamente obtener otra otro palabra permite plazo podido podemos pruebe pudo puedes queda realizar recargar recargue recuperar red regrese regresar requerido requiere resolver
+    respuesta revise segundos seguridad seguir siguiente sistema solicitar soporte también técnica técnico técnicos tiempo todavía tomar trabajando trabajo trate usar usuario utiliza válida varios vez volver
+    a acceder acceso actualice al algo ahora antes aplicación archivo asegúrese ayuda busca buscando caducado cargar compruebe con conexión contacte cookies cuenta de del desactivado después dirección disculpe
     disponible donde el ella en enlace error escrito es esta está este esto existe favor funcionar ha haber habilitar hay inicie inicio intente inténtelo interno javascript la las le lo lamentamos los más mientras momento
     más mostrar navegador necesita no nos nuestro nuevo o ocurrido página para permiso permisos pero por problema procesar puede que recurso sentimos se ser servicio servidor sesión si sido sin sitio sitio
     solicitada solicitado solicitud son su sus tarde temporalmente tiene un una usted utilizar válido ver verifique vuelva y ya""",
-    "fr": """a accéder accès accueil actualisez administrateur afficher ailleurs application au aucun autorisation avez avoir ce cela cette ces chargement cherchez choses compte connecter connexion contacter cookies d dans de demandée
+    "fr": """accepter accepté actif activé activée activer actuellement actualiser adresse afin aide ailleurs attendre attente authentification bientôt bloqué bloquée bouton cause chargée chargé charger cliquer cliquez code compris configuration connectez connecté consulter contenu contient continuer correct corrigé
+    cours déconnecté délai demande demander dernière détails deux difficultés disponibles données dû effectuer également encourus entrez erronée essayez essayons êtes expiré expirée faire fermer fonctionnalité fonctionnement formulaire gêne hors identifiant identifier inactif incident inconnu indisponible indiquée
+    informations instants introuvable jour ligne limite long longue maintenance manuellement mauvaise message mettre mise minutes modifiée moins mot nécessaire nécessite nouvelle occasionnée oublié paramètres passe passé patience patienter permet permission personne peu pouvoir pourquoi présente prend prenons prochainement
+    raison réactualiser reconnecter rencontré rencontre réseau résoudre retard réponse revenez revenir saisie saisi sécurité sera simplement souhaitée sommes suite support supprimée technique techniques temps tentative terminée tous trop trouve utilisateur utilisez valide validé vérifier voulez vouloir
+    a accéder accès accueil actualisez administrateur afficher ailleurs application au aucun autorisation avez avoir ce cela cette ces chargement cherchez choses compte connecter connexion contacter cookies d dans de demandée
     demandé des désolé désolés droit du elle en encore erreur essayer est et été être exister fichier fonctionner fonctionne il ici impossible incorrecte inattendue interne internet javascript je l la le les lien leur lors mais merci
     moment n navigateur ne n'est nous notre nouveau ou oups page par pas peut plus pour pourrait pouvez problème produite qu que quelques qui quelque rechargez recherche recherchez requête ressource retour retourner revenir s sa se serveur service ses session
     si site son suivre sur survenue tard temporairement toutes trouver trouvée un une utiliser veuillez vérifiez vers visiter voir vos votre vous y à""",
-    "it": """a al alla ancora applicazione attendere browser c che ci collegamento con contattare cookie da dal del della delle di dopo errore esiste essere è file gli ha hai home i il in indirizzo interno javascript l la le link lo
+    "it": """abilitato abilitare accedere accesso accetta account aggiornare aggiorna aiuto amministratore ancora assistenza attendi attenzione attivare attivo attualmente autorizzato autorizzazione bloccato breve caricamento caricare cercando cercare cerca chiudi clicca codice completare configurazione connettersi consentire contenuto
+    continuare controlla corrente corretto corso credenziali dati desiderata difficoltà disabilitato disagio disponibile domanda dovuto durante effettuare elaborare elaborazione entra esaurito esegui eseguire eseguito fai fallito fare funzionare funzione funzionalità generico già identificare imprevisto inattività indietro
+    informazioni inserito inserire interno interrotto lavori limite manutenzione messaggio minuti momentaneamente negato nessun nessuna nome nuovamente nuovo numero ora password permesso permessi persistere persiste possiamo potete presente presto preghiamo procedere qui raggiungibile rete ricarica ricaricare ricevuto rimosso risolvere risposta
+    risultato ritenta scadenza scaduta scaduto scusiamo secondi seguito selezionato sicurezza sistema soluzione stesso stiamo supporto tecnico tecnici tempo tentativi tentativo torna troppe troppo trovare utente utilizzando valido verificare verificato verificata vuoi
+    a al alla ancora applicazione attendere browser c che ci collegamento con contattare cookie da dal del della delle di dopo errore esiste essere è file gli ha hai home i il in indirizzo interno javascript l la le link lo
     ma momento nel nella non nostro o oppure ops pagina per piacere più poi possibile potrebbe prego problema provare qualcosa questa questo questo richiesta richiesto ricaricare ricerca ripetere riprovare riprova server servizio sessione si siamo sito
     sono spiacenti stai stata stato su sul temporaneamente tornare trovata trovato tua tuo un una utilizzare vai verifica visualizzare""",
-    "pt": """a acessar acesso algo ao aplicativo aqui arquivo as atualize até autorização com conexão contate cookies da de desculpe do dos e ela ele em endereço entre erro errado esta está este existe favor foi funcionar início
+    "pt": """aceitar ajuda aguarde alguns algum ainda aplicação atualizar atualmente ativar ativado ative autenticação autorizado bloqueado breve campos carregar carregando causa clique código completar concluir conectar configurações conta contato continuar correta corretamente credenciais dados depois desativado desculpas detalhes devido
+    digitou digitado dificuldades disponível durante encontrada encontramos encontrar entrar enviar equipe esperado estamos esgotado executar existir expirada expirado expirou faça fazer fechar feito função funciona habilitado habilite horas houve identificar imprevisto inesperado informações inicial iniciar instantes interrompido internet
+    limite login logo manutenção mensagem minutos momentaneamente mudou nada necessário necessária nenhum nome nova novamente novo obter outra outro passou permitido permissões permite persistir pois possui precisa preciso prosseguir próxima pronto quer rede recarregar requer resolver resposta saiu segundos segurança senha sendo
+    sistema solicitar suporte suporta técnica técnico técnicos tempo tentativa tentativas tente todos trabalhando usuário utilizador válida válido verificar verificando vez visualizar volte
+    a acessar acesso algo ao aplicativo aqui arquivo as atualize até autorização com conexão contate cookies da de desculpe do dos e ela ele em endereço entre erro errado esta está este existe favor foi funcionar início
     interno inválido isso já javascript lamentamos link mais mas mesmo momento na navegador no nós nosso não o ocorreu ou os página para parece pedido pela pelo permissão pode por possível problema procura procurando que
     recarregue recurso retornar se seja sem sentimos ser servidor serviço sessão seu sua site solicitada solicitado sobre tarde temporariamente tentar tente um uma usar utilizar verifique você volte voltar à é""",
-    "nl": """aan aangevraagde adres al als beheerder ben bent bestaat bestand bezoeken bij browser contact cookies dat de deze die dit door een eens en er even fout gaan gebruiken geen gevonden gevraagde haar heb hebben heeft helaas het hier
+    "nl": """aangemeld aanmelden accepteren activeren actief afgebroken allemaal alstublieft andere automatisch beheerders beschikbaar beveiliging binnen blijft code controleer controleren daarna doorgaan eerst enkele ervoor extra fouten functie gaat gebruik gebruiken gebruiker gegevens geldig geplaatst geprobeerd geweigerd goed
+    hulp inloggen ingelogd ingeschakeld inhoud instellingen internet juist juiste klik komt kort laatste log lukt misschien moet moeten mogelijk momenteel naam netwerk nieuw nieuwe nodig onbekende onderhoud onderstaande ondersteunt ongeldig ongemak onverwachte opgelost opgevraagde oplossen overbelast sessie snel staat storing
+    systeem technische terugkeren toch toegestaan uitvoeren uitgeschakeld verbinding verder verkeerd verlopen vernieuw verwerken verzoeken volgende vereist volledig wachten wachtwoord webpagina wegens werkt wilt worden zodra zorg
+    aan aangevraagde adres al als beheerder ben bent bestaat bestand bezoeken bij browser contact cookies dat de deze die dit door een eens en er even fout gaan gebruiken geen gevonden gevraagde haar heb hebben heeft helaas het hier
     homepagina ik in interne is ja javascript je jouw kan kunnen laden later link mag maar meer met moment na naar neem niet nog nu of om onze op opnieuw over pagina probeer probleem server site sorry te terug tijdelijk toegang tot u uit uw van
     verplaatst verwijderd verzoek via voor waar wanneer was we website weer werken wij willen wordt worden zijn zoekt zoeken""",
-    "ru": """а адрес администратору браузер браузера браузере был была в ваш ваша вашего вашем внутренняя возможно вернитесь вы главную доступ доступа если запрос запрошенная запрошенный и из извините или
+    "ru": """автоматически авторизации авторизация адреса адресе администратор активировать больше браузером введите введён верно вероятно включен включена возникла возникли войти время все всё выполнить выполняется вход два данные действие действия для доступен доступна дождитесь другой её ещё запроса запрещен запрещён запросов зайти
+    здесь извинения имеете имени интернет искали истекла истекло их когда контент корректно логин минут может можно неверный недоступен недоступна недостаточно неизвестная некоторое немного нельзя неправильно непредвиденная несколько новый обновить обратно ожидания ознакомиться отключен отключена отображения отправить ошибки очень пароль перезагрузите
+    перегружен пользователь помощь после потребуется поддержки поддерживает поиск права правильно правильный превышен прав приносим проблема проблемы проверка проверку продолжения продолжить проведения произошло просим просмотра просматривать работает работы разделе разрешите ресурс ресурса свяжитесь сделать сейчас сервис сервиса сессия сети скоро
+    служба слишком сожалению состояние спустя срок страницей существует счёт технические технических удалось удалена указанный уже устаревшая учётной файл через
+    а адрес администратору браузер браузера браузере был была в ваш ваша вашего вашем внутренняя возможно вернитесь вы главную доступ доступа если запрос запрошенная запрошенный и из извините или
     как к которую ли мы на нажмите не необходимо нет но о обновите обратитесь ой она ошибка ошибка перейти по повторите подождите пожалуйста позже попробуйте попытку правильность при проверьте произошла с сайт сайта сервер сервера сервере сети снова ссылка
     ссылке страница страницу страницы такой у убедитесь удалена что чтобы эта эту этого этой javascript""",
 }
@@ -158,7 +195,7 @@ NAVIGATION = frozenset(
 REASON = re.compile(r"(?<![\w-])(?:" + "|".join(sorted((re.escape(x) for x in REASON_LIST), key=len, reverse=True)) + r")(?![\w-])")
 CODE = re.compile(_CODE)
 # Failures that name no subject.
-BARE = re.compile(r"^\W*we(?:'re| are) sorry\W*$|^\W*(?:(?:temporarily|currently|briefly|sorry,?) )*(?:unavailable|down for|offline)(?!\w)|^\W*error \w+ing |(?<!\w)(?:scheduled|planned|under|undergoing|routine) maintenance(?!\w)")
+BARE = re.compile(r"^\W*cannot (?:get|post|put|delete) /|(?<!\w)err_[a-z_]+|^\W*we(?:'re| are) sorry\W*$|^\W*(?:(?:temporarily|currently|briefly|sorry,?) )*(?:unavailable|down for|offline)(?!\w)|^\W*error \w+ing |(?<!\w)(?:scheduled|planned|under|undergoing|routine) maintenance(?!\w)")
 NOTICE = re.compile(rf"(?<!\w)(?:{_SCRIPT})(?!\w)|スクリプト|クッキー|脚本|쿠키|자바스크립트|(?<=[^a-z])(?:javascript|cookie|js)(?![a-z])")
 SWITCH = re.compile(rf"(?<!\w)(?:{_SWITCH})(?!\w)|有効|無効|必要|許可|启用|啟用|开启|開啟|禁用|需要|允许|활성화|필요")
 # What such a page tells its reader to do, and that it is loading: no message by itself.
@@ -182,7 +219,7 @@ ANCHORS = sorted(
         *ASIAN_MESSAGES,
         *REASON_LIST,
         *"javascript; java script; scripts; script; scripting; cookie; skript; js; скрипт; スクリプト; クッキー; 脚本; 자바스크립트; 쿠키".split("; "),
-        *"sorry; oops; whoops; uh oh; uh-oh; browser; human; robot; captcha; security; redirect; automatic; moment; please wait; stand by; hold on; navegador; navigateur; patienter; warten; espere; aguarde; attendere; geduld; браузер; подождите; connection; ddos; ray id".split("; "),
+        *"sorry; cannot ; err_; login; sign; log in; security; difficult; support; unterstützt; admite; ondersteunt; suporta; поддерживает; expir; berechtigung; novamente; opnieuw; whoops; oops; whoops; uh oh; uh-oh; browser; human; robot; captcha; security; redirect; automatic; moment; please wait; stand by; hold on; navegador; navigateur; patienter; warten; espere; aguarde; attendere; geduld; браузер; подождите; connection; ddos; ray id".split("; "),
         *"found; n't; not ; error; fehler; erreur; errore; erro; fout; ошибка; エラー; unavailable; denied; refused; expired; wrong; broke; timed; timeout; time-out; too long; too many; limit; blocked; moved; removed; deleted; maintenance".split("; "),
         *"no such; no valid; invalid; unexpected; unable; busy; full; down; problem; try again; back; permission; suspended; longer; archived; cannot; offline; missing; nothing".split("; "),
         *"nicht; verweigert; gesperrt; abgelaufen; wartung; zu viele; später; existiert; ungültig; no ; denegado; caducado; expirado; mantenimiento; inténtelo; intente; de nuevo; introuvable; n'est; n'existe; indisponible".split("; "),
