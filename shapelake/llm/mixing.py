@@ -7,8 +7,8 @@ the source, until each is 0 or 1: every step keeps both totals exactly. A step n
 (one more than constraints), so a stream keeps three open and no more.
 
 The walk runs in parallel: a stream takes the documents of one (mix, source, size class, bucket), size
-classes being powers of two of tokens, and leaves at most two of them open; only those meet per (mix,
-source) and walk on, class by class. What is then left, at most two documents per class, is the landing
+classes being powers of two of tokens, in chunks whose lanes step together as vectors, and leaves at most two of
+them open; only those meet per (mix, source) and walk on, class by class. What is then left, at most two documents per class, is the landing
 problem, solved from the largest down so that each rounding makes up for those before. Documents of more
 than a hundredth of their source, of which there can't be a hundred, settle first, and the rate of the
 others absorbs what their rounding missed.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -126,6 +127,43 @@ class Walk:
         return done
 
 
+LANES, CHUNK = 128, 8192
+
+
+def fly_lanes(tokens: np.ndarray, p: np.ndarray, coin: np.ndarray, lanes: int = LANES) -> tuple[np.ndarray, np.ndarray]:
+    """Many walks side by side: document i walks in lane i modulo ``lanes``, all lanes stepping at once. Gives each
+    document's probability, 0 or 1 if it is decided, and whether it is; up to two documents of a lane stay open."""
+    p = p.astype(float).copy()
+    decided = (p <= _EPS) | (p >= 1 - _EPS)
+    walking = np.flatnonzero(~decided)
+    slot = np.full((lanes, 3), -1)  # places of the open documents of each lane
+    full = np.zeros(lanes, int)
+    for at in range(0, len(walking), lanes):
+        new = walking[at : at + lanes]
+        lane = np.arange(len(new))
+        slot[lane, full[lane]] = new
+        full[lane] += 1
+        go = np.flatnonzero(full == 3)
+        if not len(go):
+            continue
+        who = slot[go]
+        x, q = tokens[who].astype(float), p[who]
+        u = np.stack([x[:, 1] - x[:, 2], x[:, 2] - x[:, 0], x[:, 0] - x[:, 1]], 1)  # keeps the sums of documents and tokens
+        u[~u.any(1)] = (1.0, -1.0, 0.0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rise = np.where(u > 0, (1 - q) / u, np.where(u < 0, -q / u, np.inf)).min(1)
+            fall = np.where(u > 0, q / u, np.where(u < 0, -(1 - q) / u, np.inf)).min(1)
+        step = np.where(coin[who[:, 2]] * (rise + fall) < fall, rise, -fall)  # the expected probabilities stay
+        q = q + step[:, None] * u
+        done = (q <= _EPS) | (q >= 1 - _EPS)
+        p[who] = np.where(done, q > 0.5, q)
+        decided[who] = done
+        order = np.argsort(done, axis=1, kind="stable")
+        slot[go] = np.where(np.take_along_axis(done, order, 1), -1, np.take_along_axis(who, order, 1))
+        full[go] = 3 - done.sum(1)
+    return p, decided
+
+
 def settle(units: list[tuple]) -> list[tuple]:
     """Decide a small set of documents (payload, tokens, probability, coin): the walk within size classes,
     then the landing, from the largest open document down, each rounding nearest to the totals so far."""
@@ -157,23 +195,56 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 def _fly(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Streams sorted by (mix_name, source, size, bucket). Decided documents leave with taken 0 or 1; what a
-    stream leaves open comes out with taken null and its present probability."""
-    key, walk = None, Walk()
+    stream leaves open comes out with taken null and its present probability. A stream is walked in chunks of a
+    fixed number of its rows, so the result doesn't depend on how rows arrive; what the lanes of a chunk leave open
+    walks on in the stream's own walk."""
+    by = ["mix_name", "source", "size", "bucket"]
+    key, walk, waiting = None, Walk(), []
 
     def left() -> list[tuple]:
         return [(*o[0][:5], o[2], o[0][5], None) for o in walk.open]
 
-    for pdf in frames:
+    def flown(rows: pd.DataFrame) -> list[pd.DataFrame]:
+        p, decided = fly_lanes(rows["n_tokens"].to_numpy(), rows["p"].to_numpy(), rows["coin"].to_numpy())
+        done = rows[decided].assign(taken=(p[decided] > 0.5).astype(int), p=0.0)
+        rest = rows[~decided].assign(p=p[~decided])
         out = []
-        for row in zip(*(pdf[c] for c in ("mix_name", "source", "doc_id", "n_tokens", "base", "coin", "p", "size", "bucket")), strict=True):
-            at = (row[0], row[1], row[7], row[8])
-            if at != key:
-                out += left()
-                key, walk = at, Walk()
+        for row in zip(*(rest[c] for c in ("mix_name", "source", "doc_id", "n_tokens", "base", "coin", "p")), strict=True):
             for payload, taken in walk.push(row[:6], float(row[3]), row[6], row[5]):
                 out.append((*payload[:5], 0.0, payload[5], taken))
-        yield _frame(out)
-    yield _frame(left())
+        return [done[_COLUMNS].astype({"taken": "Int32"}), _frame(out)]
+
+    def joined(out: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        full = [x for x in out if len(x)]
+        if full:
+            yield pd.concat(full, ignore_index=True)
+
+    def close() -> list[pd.DataFrame]:
+        nonlocal walk, waiting
+        out = flown(pd.concat(waiting, ignore_index=True)) if waiting else []
+        out.append(_frame(left()))
+        walk, waiting = Walk(), []
+        return out
+
+    for pdf in frames:
+        out = []
+        pdf = pdf.reset_index(drop=True)
+        moved = (pdf[by] != pdf[by].shift()).any(axis=1).to_numpy()
+        edges = [*np.flatnonzero(moved), len(pdf)] if len(pdf) else [0]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            at = tuple(pdf.loc[a, by])
+            if at != key:
+                out += close()
+                key = at
+            waiting.append(pdf.iloc[a:b])
+            if sum(map(len, waiting)) >= CHUNK:
+                rows = pd.concat(waiting, ignore_index=True)
+                whole = len(rows) // CHUNK * CHUNK
+                for i in range(0, whole, CHUNK):
+                    out += flown(rows.iloc[i : i + CHUNK].reset_index(drop=True))
+                waiting = [rows.iloc[whole:]] if whole < len(rows) else []
+        yield from joined(out)
+    yield from joined(close())
 
 
 def _settle_rows(pdf: pd.DataFrame) -> pd.DataFrame:

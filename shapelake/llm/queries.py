@@ -105,6 +105,12 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_shares(*_mixes(spark, folder))
 
 
+def p7_size_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """As p7_shares, with mixes of the wished size whose sources at their cap fall short of their share."""
+    mixed, plan = mixing.mix_documents(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), priority="size")
+    return mixing.mix_shares(mixed, plan)
+
+
 # ---- 8: template residue and error pages
 
 
@@ -135,6 +141,7 @@ QUERIES = {
     "p6_stats": p6_stats,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
+    "p7_size_shares": p7_size_shares,
     "p8_found": p8_found,
     "p8_kept": p8_kept,
 }

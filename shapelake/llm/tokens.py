@@ -34,6 +34,7 @@ SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}
 
 DEFAULT_FILE = "/opt/tokenizers/byte_bpe_50k.json"
 CACHE_ENTRIES = 1 << 17
+CUT_AT_ONCE = 1 << 16  # letters of a text whose pieces are cut in one call; longer texts are cut piece by piece
 
 
 def byte_letters() -> dict[str, int]:
@@ -162,25 +163,45 @@ class Transducer:
             end -= self.length[out[-1]]
         return out[::-1]
 
-    def piece(self, text: str) -> tuple[int, ...]:
-        """Tokens of one piece of text; short pieces that recur are remembered (a bounded number)."""
-        data = text.encode("utf-8").decode("latin-1")
-        if len(data) <= 64:
-            out = tuple(t for part in self.stream((data,)) for t in part)
-            if len(self._cache) >= CACHE_ENTRIES:
-                self._cache.clear()
-            self._cache[text] = out
-            return out
+    def _short(self, piece: str) -> tuple[int, ...]:
+        """Tokens of a short piece; those that recur are remembered (a bounded number)."""
+        out = tuple(t for part in self.stream((piece.encode("utf-8").decode("latin-1"),)) for t in part)
+        if len(self._cache) >= CACHE_ENTRIES:
+            self._cache.clear()
+        self._cache[piece] = out
+        return out
+
+    def _chunks(self, piece: str) -> Iterator[str]:
+        """A long piece in chunks of a letter per byte; only one chunk is encoded at a time."""
         step = 4 * self.lookahead
-        return tuple(t for part in self.stream(data[i : i + step] for i in range(0, len(data), step)) for t in part)
+        for i in range(0, len(piece), step):
+            yield piece[i : i + step].encode("utf-8").decode("latin-1")
 
-    def encode_into(self, text: str | None, out: array) -> None:
-        """Append the ids of ``text``; null and empty texts have none."""
+    def parts(self, text: str | None) -> Iterator[Iterable[int]]:
+        """The ids of ``text`` in order, part by part; null and empty texts have none. Beside the text, what is held
+        is one piece's window: pieces are cut one after the other, and a long piece's tokens leave once stable."""
         if not text:
             return
-        cache, piece = self._cache, self.piece
-        for p in self._split.findall(text):
-            out.extend(cache.get(p) or piece(p))
+        cache, short = self._cache, self._short
+        pieces = self._split.findall(text) if len(text) <= CUT_AT_ONCE else (m.group() for m in self._split.finditer(text))
+        for p in pieces:
+            known = cache.get(p)
+            if known is not None:
+                yield known
+            elif len(p) <= 16:
+                yield short(p)
+            else:
+                yield from self.stream(self._chunks(p))
+
+    def encode_into(self, text: str | None, out: array) -> None:
+        """Append the ids of ``text``."""
+        extend = out.extend
+        for part in self.parts(text):
+            extend(part)
+
+    def count(self, text: str | None) -> int:
+        """Number of tokens of ``text``, in constant memory beside it."""
+        return sum(map(len, self.parts(text)))
 
     def encode(self, text: str | None) -> list[int]:
         out = array("i")
@@ -249,11 +270,7 @@ def count_tokens(df: DataFrame, doc_id: str = "doc_id", text: str = "text", keep
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = transducer(sent.value)
         for batch in batches:
-            counts = []
-            for value in batch.column(batch.num_columns - 1):
-                ids = array("i")
-                t.encode_into(value.as_py(), ids)
-                counts.append(len(ids))
+            counts = [t.count(value.as_py()) for value in batch.column(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], names=[*batch.schema.names[:-1], "n_tokens"])
 
     return part.mapInArrow(run, f"{head}, n_tokens bigint")

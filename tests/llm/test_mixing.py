@@ -1,6 +1,7 @@
 import os
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -38,6 +39,31 @@ def test_inclusion_probabilities_are_kept():
     assert all(abs(h / n - p) < 0.04 for h, p in zip(hits, probs, strict=True))
 
 
+def test_lanes_keep_both_totals_and_probabilities():
+    rng = np.random.default_rng(3)
+    for n, lanes in ((0, 4), (1, 4), (7, 4), (5000, 16), (3000, 128)):
+        t, p = rng.integers(1, 3000, n), np.where(rng.random(n) < 0.1, 0.0, rng.random(n))
+        got, decided = mixing.fly_lanes(t, p, rng.random(n), lanes)
+        assert got.sum() == pytest.approx(p.sum()) and (got * t).sum() == pytest.approx((p * t).sum())
+        assert (~decided).sum() <= 2 * lanes and set(got[decided]) <= {0.0, 1.0}
+    t, p = rng.integers(1, 50, 40), rng.random(40)
+    mean = np.mean([mixing.fly_lanes(t, p, rng.random(40), 4)[0] for _ in range(4000)], 0)
+    assert np.abs(mean - p).max() < 0.04
+
+
+def test_a_long_stream_gives_the_same_however_it_arrives():
+    rng = np.random.default_rng(5)
+    n = 2 * mixing.CHUNK + 777
+    pdf = pd.DataFrame({"mix_name": "m", "source": "s", "doc_id": range(n), "n_tokens": rng.integers(1, 900, n), "base": 1, "p": 0.3, "coin": rng.random(n), "size": np.repeat([3, 4], [n - 900, 900]), "bucket": 0})
+    runs = [pd.concat(mixing._fly(iter([pdf.iloc[i : i + k] for i in range(0, n, k)]))).sort_values("doc_id").reset_index(drop=True) for k in (n, 1000, 3333)]
+    for r in runs[1:]:
+        pd.testing.assert_frame_equal(runs[0], r)
+    r = runs[0]
+    assert len(r) == n and r.taken.isna().sum() <= 4
+    reached = (r.n_tokens * r.taken.fillna(0).astype(float)).sum() + (r.n_tokens * r.p)[r.taken.isna()].sum()
+    assert reached == pytest.approx((pdf.n_tokens * pdf.p).sum())
+
+
 def docs(spark):
     rnd = random.Random(7)
     rows = []
