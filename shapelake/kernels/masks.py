@@ -119,37 +119,35 @@ def scales(rgb: np.ndarray) -> dict[str, np.ndarray]:
     return {"edge": raster.edges(lab), "saliency": unit(np.sqrt(((wide - lab.mean((0, 1))) ** 2).sum(2))), "macro": unit(raster.gaussian(raster.edges(wide), 5)), "detail": unit(fine)}
 
 
-def corridor(mask: np.ndarray, low: float = 0.30, high: float = 0.70, narrow: float = 0.08, wide: float = 0.24, valley: float = 0.72) -> dict:
-    """The emptiest upright corridor near the middle of a mask, if both sides carry clearly more mass: its ends,
-    the sides' masses, and how empty it is against them (0 without corridor)."""
+def corridor(mask: np.ndarray, middle: float = 0.40, widths: tuple[float, float] = (0.08, 0.24), band: tuple[float, float] = (0.20, 0.72), least: float = 0.055, emptier: float = 0.72) -> dict:
+    """The upright corridor of a mask: an empty stretch of columns near the middle with clearly more mass on both sides.
+
+    Every stretch of every width in the given range whose center is in the ``middle`` of the picture is judged at
+    once by how much emptier it is than the emptier side (beyond a margin), less a little for being off the center;
+    the best wins (ties: the narrower, then the left one). Gives its ends, the sides' masses, and how empty it is
+    against them; it is not active if a side has less than ``least`` or it isn't at least that much ``emptier``."""
     h, w = mask.shape
     none = {"active": False, "x0": w / 2, "x1": w / 2, "left": 0.0, "right": 0.0, "score": 0.0}
     if min(h, w) < 20 or not mask.any():
         return none
-    r = max(2, round(w * 0.012))
-    profile = np.convolve(mask[round(h * 0.20) : round(h * 0.72)].mean(0), np.ones(2 * r + 1) / (2 * r + 1), "same")
-    total = np.concatenate([[0.0], np.cumsum(profile)])
-    lo, hi = max(5, round(w * narrow)), max(5, round(w * narrow), round(w * wide))
-    found = []
-    for width in sorted({lo, round((lo + hi) / 2), hi}):
-        start = np.clip(np.arange(round(w * low), round(w * high) + 1, max(1, width // 10)) - width // 2, 0, w - width)
-        occ = (total[start + width] - total[start]) / width
-        cost = occ + np.abs(start + width / 2 - w / 2) / w * 0.08
-        i = int(cost.argmin())
-        found.append((cost[i], width, int(start[i]), float(occ[i])))
-    _, width, a, occ = min(found)
-    b, m = a + width, max(4, round(w * 0.035))
-    side = lambda p: float(p.mean()) if len(p) else 0.0
-    left, right = side(profile[int(w * 0.06) : max(1, a - m)]), side(profile[min(w - 1, b + m) : int(w * 0.94)])
-    floor = min(left, right)
-    if floor < 0.055 or occ > floor * valley:
-        return none | {"left": left, "right": right}
-    empty = profile <= max(occ * 1.35, floor * 0.58)
-    while b - a < hi and a > 0 and empty[a - 1]:
-        a -= 1
-    while b - a < hi and b < w and empty[b]:
-        b += 1
-    return {"active": True, "x0": float(a), "x1": float(b), "left": left, "right": right, "score": float(min(1.0, max(0.0, 1 - occ / floor)))}
+    filled = np.concatenate([[0.0], np.cumsum(mask[round(h * band[0]) : round(h * band[1])].mean(0))])
+    margin = max(4, round(w * 0.035))
+    width = np.arange(max(5, round(w * widths[0])), max(5, round(w * widths[1])) + 1)[:, None]
+    start = np.arange(w)[None, :]
+    stop = start + width
+    center = (start + stop) / 2 / w
+    fits = (stop <= w - margin - 1) & (start >= margin + 1) & (np.abs(center - 0.5) <= middle / 2)
+    if not fits.any():
+        return none
+    mean = lambda a, b: (filled[np.clip(b, 0, w)] - filled[np.clip(a, 0, w)]) / np.maximum(b - a, 1)
+    inside, left, right = mean(start, stop), mean(np.zeros_like(stop), start - margin + 0 * width), mean(stop + margin, np.full_like(stop, w))
+    side = np.minimum(left, right)
+    merit = np.where(fits, side - inside - np.abs(center - 0.5) * 0.08, -np.inf)
+    i, j = np.unravel_index(int(merit.argmax()), merit.shape)
+    sides = none | {"left": float(left[i, j]), "right": float(right[i, j])}
+    if side[i, j] < least or inside[i, j] > side[i, j] * emptier:
+        return sides
+    return sides | {"active": True, "x0": float(start[0, j]), "x1": float(stop[i, j]), "score": float(min(1.0, max(0.0, 1 - inside[i, j] / side[i, j])))}
 
 
 def palette_tree(colors: np.ndarray, mass: np.ndarray, blocked: set[tuple[int, int]] = frozenset()) -> list[tuple[int, int, int, float]]:

@@ -55,6 +55,21 @@ def background_color(mode: Column, source: Column, custom: Column) -> Column:
     return F.when(mode == "transparent", F.lit(None)).when(mode == "white", white).when(mode == "custom", custom).otherwise(F.coalesce(source, custom))
 
 
+# Where a horizon can be, where its evidence is looked for, and where it is without any.
+HORIZON = {"low": 0.48, "high": 0.70, "water": (0.38, 0.78), "ground": (0.40, 0.78), "default": 0.58}
+
+
+def horizon(regions: DataFrame, images: DataFrame) -> DataFrame:
+    """Height of each image's horizon: the median top of water and boats near the middle, else the median foot of
+    structures, else a usual height (image_id, horizon_y)."""
+    d = images.join(regions.select("image_id", "role", "y", "h"), "image_id", "left")
+    y, foot, tall = F.col("y").cast("double"), (F.col("y") + F.col("h")).cast("double"), F.col("height")
+    near = lambda c, k: c.between(tall * HORIZON[k][0], tall * HORIZON[k][1])
+    per = d.groupBy("image_id", tall.alias("_H")).agg(F.median(F.when(F.col("role").isin("water", "boat") & near(y, "water"), y)).alias("_w"), F.median(F.when((F.col("role") == "structure") & near(foot, "ground"), foot)).alias("_g"))
+    found = F.least(F.greatest(F.coalesce("_w", "_g"), F.col("_H") * HORIZON["low"]), F.col("_H") * HORIZON["high"])
+    return per.select("image_id", F.coalesce(F.when(F.coalesce("_w", "_g").isNotNull(), found), F.col("_H") * HORIZON["default"]).alias("horizon_y"))
+
+
 # ---- similar regions
 
 

@@ -104,6 +104,16 @@ def q_region_order(spark, folder):
     return regions.draw_order(_named(spark, folder).withColumn("importance", F.col("structure_score"))).select("image_id", "region_id", F.col("z").cast("bigint").alias("z"))
 
 
+@query(
+    f"""WITH {_REG}, {_ROLE}, m AS (SELECT image_id, median(y) FILTER (role IN ('water', 'boat') AND y BETWEEN 30.4 AND 62.4) AS wy, median(y + h) FILTER (role = 'structure' AND y + h BETWEEN 32 AND 62.4) AS gy FROM rol GROUP BY image_id)
+    SELECT image_id, round(CASE WHEN coalesce(wy, gy) IS NULL THEN 46.4 ELSE least(greatest(coalesce(wy, gy), 38.4), 56) END, 6) AS horizon_y FROM m"""
+)
+def q_horizon(spark, folder):
+    """Height of every image's horizon."""
+    i = _images(spark, folder)
+    return abstraction.horizon(regions.assign_roles(_regions(spark, folder), i), i).select("image_id", r6(F.col("horizon_y")).alias("horizon_y"))
+
+
 def _lab_sql(r: str, g: str, b: str, source: str, keep: str) -> str:
     """SQL: ``keep`` and Lab of colors as l, a, bb."""
     lin = lambda c: f"CASE WHEN {c} / 255.0 <= 0.04045 THEN {c} / 255.0 / 12.92 ELSE pow(({c} / 255.0 + 0.055) / 1.055, 2.4) END"
