@@ -45,6 +45,32 @@ def per_image(images: DataFrame, f: Callable[[str, np.ndarray, np.ndarray | None
     return images.select("image_id", "width", "height", "n_channels", "data").mapInPandas(run, schema)
 
 
+def per_image_columns(images: DataFrame, f: Callable[[str, np.ndarray, np.ndarray | None], Iterator[dict]], schema: str, batch: int = 65_536) -> DataFrame:
+    """Rows of each decoded image that ``f(image_id, rgb, alpha)`` yields as columns (arrays of one length; the image's id
+    is added), cut into batches. For tables of pixels, which would be slow as single rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if r.data is None or not r.width:
+                    continue
+                a = np.frombuffer(r.data, np.uint8).reshape(int(r.height), int(r.width), int(r.n_channels))
+                rgb = np.repeat(a, 3, 2) if r.n_channels == 1 else a[:, :, 2::-1]
+                for columns in f(r.image_id, rgb, a[:, :, 3] if r.n_channels == 4 else None):
+                    n = len(next(iter(columns.values())))
+                    for i in range(0, n, batch):
+                        part = pd.DataFrame({k: v[i : i + batch] for k, v in columns.items()})
+                        part.insert(0, "image_id", r.image_id)
+                        yield part
+
+    return images.select("image_id", "width", "height", "n_channels", "data").mapInPandas(run, f"image_id string, {schema}")
+
+
+def _scaled(a: np.ndarray, side: int | None) -> np.ndarray:
+    """An image no longer than ``side``; at its own size without one."""
+    return a if side is None else raster.resize_nearest(a, side)
+
+
 # ---- color strip
 
 
@@ -114,22 +140,24 @@ def strip_svg(strip: DataFrame, length: int, height: int) -> DataFrame:
 
 def feature_palette(images: DataFrame, clusters: int = 12, most: int = 6, sample: int = 20_000) -> DataFrame:
     """Role colors of each image beside its backdrop: k-means in Lab, then share, chroma, spread, family and
-    score per cluster; Main by score, then Accent by chroma among colors far from it, then Support."""
+    score per cluster; Main by score, then Accent by chroma among colors far from it, then Support. Centers are fitted
+    on up to ``sample`` evenly spaced pixels; every pixel is assigned to them and counts."""
 
     def run(image_id, rgb, alpha):
         keep = ~raster.border_flood(rgb) & (alpha > 0 if alpha is not None else True)
         if not keep.any():
             keep = np.ones(rgb.shape[:2], bool)
         y, x = np.nonzero(keep)
-        at = np.linspace(0, len(y) - 1, min(sample, len(y))).astype(int)
-        lab = raster.to_lab(rgb[y[at], x[at]])
-        _, label = raster.kmeans(lab, clusters)
+        lab = raster.to_lab(rgb[y, x])
+        fit = np.linspace(0, len(y) - 1, min(sample, len(y))).astype(int)
+        centers, _ = raster.kmeans(lab[fit], clusters)
+        label = np.concatenate([((lab[i : i + 65_536, None] - centers[None]) ** 2).sum(2).argmin(1) for i in range(0, len(lab), 65_536)])
         for i in np.unique(label):
-            m = at[label == i]
+            m = label == i
             c = rgb[y[m], x[m]].mean(0)
             l = raster.to_lab(c)
             spread = (min(1.0, x[m].std() / max(1, rgb.shape[1] * 0.22)) + min(1.0, y[m].std() / max(1, rgb.shape[0] * 0.22))) / 2
-            yield {"image_id": image_id, "cluster": int(i), "r": int(round(c[0])), "g": int(round(c[1])), "b": int(round(c[2])), "share": len(m) / len(at), "chroma": float(np.hypot(l[1], l[2])), "lightness": float(l[0]), "spread": float(spread)}
+            yield {"image_id": image_id, "cluster": int(i), "r": int(round(c[0])), "g": int(round(c[1])), "b": int(round(c[2])), "share": float(m.mean()), "chroma": float(np.hypot(l[1], l[2])), "lightness": float(l[0]), "spread": float(spread)}
 
     rows = per_image(images, run, "image_id string, cluster int, r int, g int, b int, share double, chroma double, lightness double, spread double")
     neutral = F.when(F.col("chroma") < 10, F.when(F.col("lightness") >= 80, "light").when(F.col("lightness") <= 25, "dark").otherwise("neutral"))
@@ -144,22 +172,24 @@ def feature_palette(images: DataFrame, clusters: int = 12, most: int = 6, sample
 # ---- stable abstraction: clusters -> regions -> roles -> layers -> shapes
 
 
-def color_regions(images: DataFrame, colors: int = 8, side: int = 256, least: float = 0.0008) -> DataFrame:
-    """Label pixels of connected regions of quantized colors: image_id, y, x, region, palette_id, r, g, b."""
+def color_regions(images: DataFrame, colors: int = 8, side: int | None = 256, least: float = 0.0008) -> DataFrame:
+    """Label pixels of connected regions of quantized colors: image_id, y, x, region, palette_id, r, g, b. Images are
+    analysed at up to ``side`` pixels, or at their own size without it."""
 
     def run(image_id, rgb, alpha):
-        small = raster.resize_nearest(rgb, side)
-        mask = raster.resize_nearest(alpha, side) > 0 if alpha is not None else np.ones(small.shape[:2], bool)
+        small = _scaled(rgb, side)
+        mask = _scaled(alpha, side) > 0 if alpha is not None else np.ones(small.shape[:2], bool)
         c, label = raster.kmeans(raster.to_lab(small[mask]), colors) if mask.any() else (None, np.empty(0, int))
         q = np.full(small.shape[:2], -1)
         q[mask] = label
         comp = raster.components(q, 8)
-        keep = np.bincount(comp[comp >= 0], minlength=1) >= least * comp.size
-        for y, x in zip(*np.nonzero(comp >= 0), strict=True):
-            if keep[comp[y, x]]:
-                yield {"image_id": image_id, "y": int(y), "x": int(x), "region": int(comp[y, x]), "palette_id": int(q[y, x]), "r": int(small[y, x, 0]), "g": int(small[y, x, 1]), "b": int(small[y, x, 2]), "width": small.shape[1], "height": small.shape[0]}
+        big = np.bincount(comp[comp >= 0], minlength=1) >= least * comp.size
+        y, x = np.nonzero((comp >= 0) & big[np.maximum(comp, 0)])
+        h, w = comp.shape
+        i32 = lambda a: a.astype(np.int32)
+        yield {"y": i32(y), "x": i32(x), "region": i32(comp[y, x]), "palette_id": i32(q[y, x]), **{n: i32(small[y, x, k]) for k, n in enumerate("rgb")}, "width": np.full(len(y), w, np.int32), "height": np.full(len(y), h, np.int32)}
 
-    return per_image(images, run, "image_id string, y int, x int, region int, palette_id int, r int, g int, b int, width int, height int")
+    return per_image_columns(images, run, "y int, x int, region int, palette_id int, r int, g int, b int, width int, height int")
 
 
 def region_table(labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -200,12 +230,12 @@ def fit_shapes(labels: DataFrame, chosen: DataFrame) -> DataFrame:
     return px.groupBy("image_id", "region_id").applyInPandas(run, "image_id string, region_id int, kind string, box array<double>, points array<struct<x:double,y:double>>, iou double")
 
 
-def stable_scene(images: DataFrame, shapes: int = 40, colors: int = 8) -> dict[str, DataFrame]:
+def stable_scene(images: DataFrame, shapes: int = 40, colors: int = 8, side: int | None = 256) -> dict[str, DataFrame]:
     """Quantize, find regions, rate and name them, choose by layer quotas, fit shapes, order them.
 
     Stage tables are written to the shared folder, as each is read several times and the kernels before them
     should run once."""
-    labels = materialize(color_regions(images, colors), "labels")
+    labels = materialize(color_regions(images, colors, side), "labels")
     table, palette, canvas = (materialize(t, "regions") for t in region_table(labels))
     round_ = F.least(F.lit(1.0), F.col("area") / F.greatest(F.lit(1.0), F.col("w") * F.col("h")))
     long_ = F.least(F.lit(1.0), (F.greatest("w", "h") / F.greatest(F.lit(1.0), F.least("w", "h")) - 1.0) / 5.0)
@@ -226,21 +256,19 @@ def stable_scene(images: DataFrame, shapes: int = 40, colors: int = 8) -> dict[s
 # ---- hierarchical abstraction: superpixels -> boundaries -> merge forest -> nested cuts
 
 
-def superpixel_labels(images: DataFrame, target: int = 300, side: int = 192) -> DataFrame:
-    """Superpixel pixels with Lab and the edge map, raw and smoothed: image_id, y, x, region, l, ca, cb, raw, soft."""
+def superpixel_labels(images: DataFrame, target: int = 300, side: int | None = 192) -> DataFrame:
+    """Superpixel pixels with Lab and the edge map, raw and smoothed: image_id, y, x, region, l, ca, cb, raw, soft. Images
+    are analysed at up to ``side`` pixels, or at their own size without it."""
 
     def run(image_id, rgb, alpha):
-        a = raster.resize_nearest(rgb, side)
-        lab = raster.to_lab(a)
+        lab = raster.to_lab(_scaled(rgb, side))
         s = raster.superpixels(lab, target)
         e = raster.edges(lab)
         soft = np.clip(raster.gaussian(e, 5), 0, 1)
-        h, w = s.shape
-        for y in range(h):
-            for x in range(w):
-                yield {"image_id": image_id, "y": y, "x": x, "region": int(s[y, x]), "l": float(lab[y, x, 0]), "ca": float(lab[y, x, 1]), "cb": float(lab[y, x, 2]), "raw": float(e[y, x]), "soft": float(soft[y, x])}
+        y, x = (v.reshape(-1).astype(np.int32) for v in np.indices(s.shape))
+        yield {"y": y, "x": x, "region": s.reshape(-1).astype(np.int32), **{n: lab[:, :, k].reshape(-1).astype(float) for k, n in enumerate(("l", "ca", "cb"))}, "raw": e.reshape(-1).astype(float), "soft": soft.reshape(-1).astype(float)}
 
-    return per_image(images, run, "image_id string, y int, x int, region int, l double, ca double, cb double, raw double, soft double")
+    return per_image_columns(images, run, "y int, x int, region int, l double, ca double, cb double, raw double, soft double")
 
 
 def merge_and_cut(stats: DataFrame, boundary: DataFrame, perimeter: DataFrame, counts: list[int]) -> DataFrame:
@@ -264,10 +292,10 @@ def merge_and_cut(stats: DataFrame, boundary: DataFrame, perimeter: DataFrame, c
     return per.mapInPandas(run, "image_id string, wanted int, region int, node int")
 
 
-def hierarchical_scene(images: DataFrame, counts: tuple[int, ...] = (12, 24, 48, 96)) -> dict[str, DataFrame]:
+def hierarchical_scene(images: DataFrame, counts: tuple[int, ...] = (12, 24, 48, 96), target: int = 300, side: int | None = 192) -> dict[str, DataFrame]:
     """Superpixels, region statistics, boundaries, forest and nested cuts; labels of each cut by a join. Stage
     tables are written to the shared folder."""
-    labels = materialize(superpixel_labels(images), "labels")
+    labels = materialize(superpixel_labels(images, target, side), "labels")
     stats = pixels.region_stats(labels, {c: F.col(c) for c in ("l", "ca", "cb")})
     boundary = materialize(pixels.boundary_evidence(labels, "raw", "soft"), "boundary")
     cuts = materialize(merge_and_cut(stats, boundary, pixels.perimeters(labels), list(counts)), "cuts")
