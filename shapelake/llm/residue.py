@@ -12,6 +12,7 @@ long, and linear in its length. The automaton is built once per Python worker.
 
 from __future__ import annotations
 
+import re as plain_re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -96,7 +97,7 @@ NOTICE_SHARE = 0.7
 NOTICE_OWN = 0.6
 ASKING_OWN = 0.4
 
-_SPACES = re.compile(r"[^\S\n]+")
+_SPACES = plain_re.compile(r"[^\S\n]+")
 _W = r"[\w\p{M}]"
 _NAME = r"[a-z0-9_]+(?: [a-z0-9_]+)*+"
 _ANY_NAME = rf"(?!\d){_W}++(?: {_W}++)*+"
@@ -109,26 +110,28 @@ _INSIDE = {
     "words": _NAME,
 }
 _SLOTS = [re.compile(rf" ?({_INSIDE[kind]}) ?-?{re.escape(closing)}") for _, closing, kind in SLOT_FORMS]
-_LETTER_RUN = re.compile(r"[^\W\d_]+")
-_HEX = re.compile(r"(?<![0-9a-z])(?=[0-9a-f]*\d)[0-9a-f]{4,64}(?![0-9a-z])")
+_HEX = plain_re.compile(r"(?<![0-9a-z])(?=[0-9a-f]*\d)[0-9a-f]{4,64}(?![0-9a-z])")
 _WORD = re.compile(r"[^\W_]+")
-_TERM = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
+_TERM = plain_re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)*")
 _SENTENCE = re.compile(r"[\n。]|[.!?](?=\s)")
-_PARTS = re.compile(r"[^.!?…;。！？]+(?:[.!?…;。！？]+(?!\s|$)[^.!?…;。！？]+)*[.!?…;。！？]*")
-_INVISIBLE = dict.fromkeys(map(ord, "​‌‍⁠﻿­"))
+_PARTS = plain_re.compile(r"[^.!?…;。！？]+(?:[.!?…;。！？]+(?!\s|$)[^.!?…;。！？]+)*[.!?…;。！？]*")
+_INVISIBLE = plain_re.compile("[\u200b\u200c\u200d\u2060\ufeff\u00ad]")
 _QUOTES = [('"', '"'), ("“", "”"), ("「", "」"), ("„", "“")]
-_TAGS = re.compile(r"<[/!]?[a-z][^<>\n]*>")
+_TAGS = plain_re.compile(r"<[/!]?[a-z][^<>\n]*>")
 _ASSIGNED = re.compile(r"(?:^|\s)(?:export |set |declare )?([a-z_][a-z0-9_]*)=", re.M)
-_LOG = re.compile(r"\W*\d{4}-\d\d-\d\d[t ]\d\d:\d\d")
-_JSON_MARKS = re.compile(r'[{}\[\]",]+')
-_MENU = re.compile(r" ?[|·•/»›«>—] ?")
+_LOG = plain_re.compile(r"\W*\d{4}-\d\d-\d\d[t ]\d\d:\d\d")
+_JSON_MARKS = plain_re.compile(r'[{}\[\]",]+')
+_MENU = plain_re.compile(r" ?[|·•/»›«>—] ?")
 _ASIAN = re.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Hangul}]")
+_KNOWN = wording.VOCABULARY | wording.NAVIGATION
 _TAIL_OPENS = {" to be filled in)": "(", " here]": "["}
 
 
 def normalize(text: str) -> str:
     """Lower case, without invisible characters, each run of blanks one space; line breaks stay."""
-    t = text.translate(_INVISIBLE).replace("\r\n", "\n").replace("\r", "\n").replace("’", "'").lower()
+    if not text.isascii():
+        text = _INVISIBLE.sub("", text).replace("’", "'")
+    t = text.replace("\r\n", "\n").replace("\r", "\n").lower()
     return "\n".join(line.strip() for line in _SPACES.sub(" ", t).split("\n"))
 
 
@@ -350,7 +353,7 @@ class Detector:
         as soon as what is not covered is too much for the text's length. ``spots`` are the places of the automaton's
         hits: a sentence without any can't be a message."""
         most = (1 - self.coverage) * len(t)
-        quotes = self._quoted(t)
+        quotes = None
         total = rest = labels = 0
         strong = False
         at = 0
@@ -360,10 +363,11 @@ class Detector:
                 continue
             row = line.startswith("|") and line.count("|") > 1
             as_json = line[0] in "{[" and line[-1] in "}]"
-            plain = _TAGS.sub("\n", _JSON_MARKS.sub("\n", line.replace("_", " ")) if as_json else line)
+            plain = _JSON_MARKS.sub("\n", line.replace("_", " ")) if as_json else line
+            plain = _TAGS.sub("\n", plain) if "<" in plain else plain
             no_message = row or bool(_LOG.match(line))
             for piece in plain.split("\n"):
-                if not no_message and not as_json and piece == line and self._furniture(piece.strip()):
+                if not no_message and not as_json and piece == line and self._furniture(piece.strip(), bisect_left(spots, start) < bisect_left(spots, at)):
                     n = sum(map(len, _TERM.findall(piece)))
                     known = all(w in wording.NAVIGATION for w in _TERM.findall(piece)) or len(_MENU.split(piece.strip(" «»|/·•"))) > 1
                     if known or labels + n <= 40:
@@ -384,6 +388,7 @@ class Detector:
                         continue
                     quoted, speaks = 0, False
                     outside = sentence
+                    quotes = self._quoted(t) if quotes is None else quotes
                     if quotes and not as_json and piece == line:
                         for x, y in quotes:
                             if x < b and y > a:
@@ -412,7 +417,7 @@ class Detector:
     @staticmethod
     def _about(sentence: str) -> int:
         """Letters of what a notice or an order is about that aren't words of messages."""
-        return sum(len(w) for m in wording.OBJECT.finditer(sentence) for w in _TERM.findall(m.group(1)) if w not in wording.VOCABULARY and w not in wording.NAVIGATION)
+        return sum(len(w) for m in wording.OBJECT.finditer(sentence) for w in _TERM.findall(m.group(1)) if w not in _KNOWN)
 
     def _evidence(self, sentence: str, known: int, letters: int) -> bool:
         """An error, or a notice whatever it is about, that makes a text a message."""
@@ -428,19 +433,27 @@ class Detector:
     @staticmethod
     def _letters(sentence: str, patterns: bool) -> tuple[int, int]:
         """Letters of a sentence, ids left out, and those in words of web messages or in what the patterns match."""
-        text = _HEX.sub(lambda m: " " * len(m.group()), sentence)
+        text = _HEX.sub(lambda m: " " * len(m.group()), sentence) if not sentence.isalpha() and any(map(str.isdigit, sentence)) else sentence
         letters = known = 0
+        if not patterns:
+            for w in _TERM.findall(text):
+                letters += len(w)
+                if w in _KNOWN:
+                    known += len(w)
+                elif "'" in w:
+                    known += sum(len(x) for x in w.split("'") if x in wording.VOCABULARY)
+            return letters, known
         open_ = []
         for m in _TERM.finditer(text):
             w = m.group()
             letters += len(w)
-            if w in wording.VOCABULARY or w in wording.NAVIGATION:
+            if w in _KNOWN:
                 known += len(w)
             elif "'" in w and any(x in wording.VOCABULARY for x in w.split("'")):
                 known += sum(len(x) for x in w.split("'") if x in wording.VOCABULARY)
             else:
                 open_.append(m.span())
-        if open_ and patterns and known > 0.2 * letters:
+        if open_ and known > 0.3 * letters:
             spans, i = wording.covered(text), 0
             for a, b in open_:
                 while i < len(spans) and spans[i][1] <= a:
@@ -449,7 +462,7 @@ class Detector:
         return letters, known
 
     @staticmethod
-    def _furniture(line: str) -> bool:
+    def _furniture(line: str, hit: bool) -> bool:
         """A menu (several short labels), a line of navigation words, or one short label."""
         if line[-1:] in ".!?。！？:" or ": " in line:
             return False
@@ -457,7 +470,7 @@ class Detector:
         words = _TERM.findall(line)
         if not words:
             return False
-        if wording.is_message(line):
+        if hit and wording.is_message(line):
             return False
         if len(parts) > 1 and all(len(p.split()) <= 3 for p in parts):
             return True
