@@ -128,6 +128,7 @@ class Walk:
 
 
 LANES, CHUNK = 128, 8192
+FEW = 1024  # rows of a chunk below which lanes don't pay and its documents walk one by one
 
 
 def fly_lanes(tokens: np.ndarray, p: np.ndarray, coin: np.ndarray, lanes: int = LANES) -> tuple[np.ndarray, np.ndarray]:
@@ -199,20 +200,26 @@ def _fly(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     fixed number of its rows, so the result doesn't depend on how rows arrive; what the lanes of a chunk leave open
     walks on in the stream's own walk."""
     by = ["mix_name", "source", "size", "bucket"]
+    names = ["mix_name", "source", "doc_id", "n_tokens", "base", "coin", "p"]
     key, walk, waiting = None, Walk(), []
 
     def left() -> list[tuple]:
         return [(*o[0][:5], o[2], o[0][5], None) for o in walk.open]
 
+    def walked(rows) -> list[tuple]:
+        out = []
+        for row in rows:
+            for payload, taken in walk.push(row[:6], float(row[3]), row[6], row[5]):
+                out.append((*payload[:5], 0.0, payload[5], taken))
+        return out
+
     def flown(rows: pd.DataFrame) -> list[pd.DataFrame]:
+        if len(rows) < FEW:
+            return [_frame(walked(zip(*(rows[c] for c in names), strict=True)))]
         p, decided = fly_lanes(rows["n_tokens"].to_numpy(), rows["p"].to_numpy(), rows["coin"].to_numpy())
         done = rows[decided].assign(taken=(p[decided] > 0.5).astype(int), p=0.0)
         rest = rows[~decided].assign(p=p[~decided])
-        out = []
-        for row in zip(*(rest[c] for c in ("mix_name", "source", "doc_id", "n_tokens", "base", "coin", "p")), strict=True):
-            for payload, taken in walk.push(row[:6], float(row[3]), row[6], row[5]):
-                out.append((*payload[:5], 0.0, payload[5], taken))
-        return [done[_COLUMNS].astype({"taken": "Int32"}), _frame(out)]
+        return [done[_COLUMNS].astype({"taken": "Int32"}), _frame(walked(zip(*(rest[c] for c in names), strict=True)))]
 
     def joined(out: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         full = [x for x in out if len(x)]
@@ -227,23 +234,33 @@ def _fly(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return out
 
     for pdf in frames:
-        out = []
-        pdf = pdf.reset_index(drop=True)
-        moved = (pdf[by] != pdf[by].shift()).any(axis=1).to_numpy()
-        edges = [*np.flatnonzero(moved), len(pdf)] if len(pdf) else [0]
+        if not len(pdf):
+            continue
+        out, rows = [], []
+        keys = [pdf[c].to_numpy() for c in by]
+        moved = np.zeros(len(pdf), bool)
+        for k in keys:
+            moved[1:] |= k[1:] != k[:-1]
+        edges = [0, *np.flatnonzero(moved), len(pdf)]
+        lists = [pdf[c].tolist() for c in names]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
-            at = tuple(pdf.loc[a, by])
+            at = tuple(k[a] for k in keys)
             if at != key:
                 out += close()
                 key = at
+            if not waiting and b < len(pdf) and b - a < FEW:  # a whole stream of few rows
+                rows += walked(zip(*(c[a:b] for c in lists), strict=True))
+                rows += left()
+                walk, key = Walk(), None
+                continue
             waiting.append(pdf.iloc[a:b])
             if sum(map(len, waiting)) >= CHUNK:
-                rows = pd.concat(waiting, ignore_index=True)
-                whole = len(rows) // CHUNK * CHUNK
+                held = pd.concat(waiting, ignore_index=True)
+                whole = len(held) // CHUNK * CHUNK
                 for i in range(0, whole, CHUNK):
-                    out += flown(rows.iloc[i : i + CHUNK].reset_index(drop=True))
-                waiting = [rows.iloc[whole:]] if whole < len(rows) else []
-        yield from joined(out)
+                    out += flown(held.iloc[i : i + CHUNK].reset_index(drop=True))
+                waiting = [held.iloc[whole:]] if whole < len(held) else []
+        yield from joined([*out, _frame(rows)])
     yield from joined(close())
 
 
