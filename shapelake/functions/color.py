@@ -161,6 +161,7 @@ def lab_of(channels: tuple[int, int, int]) -> tuple[float, float, float]:
 def color_family(p: Column, neutral: Column) -> Column:
     """Name of a Lab color's family; ``neutral`` is 'light', 'dark', 'neutral' or null. ``p`` should be a column,
     not an expression, as it is used many times."""
+    # 28 and 38 part weak from strong chroma, 70 light from dark red, 0.48 and 0.62 weigh lightness.
     h, c = hue_degrees(p), chroma(p)
     weak = F.when((h >= 330) | (h < 15), F.when(p["l"] >= 70, "pink").otherwise("red"))
     for low, high, light, above, below in WEAK_FAMILIES:

@@ -47,6 +47,7 @@ def _shape(r: DataFrame, images: DataFrame) -> tuple[DataFrame, dict[str, Column
 
 def assign_roles(regions: DataFrame, images: DataFrame, subject: bool = False) -> DataFrame:
     """Role of each region by the first rule that holds: geometry first, small saturated accents late."""
+    # The limits in these rules, in their order.
     d, m = _shape(regions, images)
     a, edge, accent = F.col("area_ratio"), F.col("touches_edge"), F.col("is_accent")
     if subject:
@@ -68,6 +69,7 @@ def assign_roles(regions: DataFrame, images: DataFrame, subject: bool = False) -
 
 def assign_semantics(regions: DataFrame, images: DataFrame, subject: bool = False) -> DataFrame:
     """Pseudo-semantic type and its confidence; needs ``role`` and ``solidity`` (area over hull area)."""
+    # The limits, types and confidences in these rules, in their order.
     d, m = _shape(regions, images)
     a, role, solid = F.col("area_ratio"), F.col("role"), F.col("solidity")
     fill = F.least(F.lit(1.0), F.col("area") / F.greatest(F.lit(1.0), F.col("w") * F.col("h")))
@@ -104,6 +106,7 @@ def assign_semantics(regions: DataFrame, images: DataFrame, subject: bool = Fals
 
 def assign_layers(regions: DataFrame, images: DataFrame) -> DataFrame:
     """Composition layer by role and height in the picture."""
+    # The heights that part layers.
     d, m = _shape(regions, images)
     role, y = F.col("role"), m["cy"]
     layer = (

@@ -55,6 +55,7 @@ def global_value(shapes: DataFrame, canvas: DataFrame, least: float = 0.400, sma
     border; strong contrast rescues. Only neighbours within reach count for connectedness, and only overlapping
     ones of like color for redundancy, so pairs come from a grid.
     """
+    # Weights and scales of the terms below.
     clip = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
     d = shapes.join(canvas, "image_id")
     reach = F.least("width", "height") * reach_ratio
