@@ -5,8 +5,10 @@ from itertools import combinations
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from shapelake.plans import analog
 
 
 @pytest.mark.parametrize(("name", "key"), [("q_overlap_all", "c_nationkey"), ("q_overlap_customer", "o_custkey")])
@@ -27,6 +29,22 @@ def test_overlaps_take_all_orders(spark, data, name, key):
     assert any(a in low and b in low for a, b in got)
 
 
+def test_overlaps_round_as_their_sql(spark):
+    folder = "/root/testdata/sf0.01"
+    db = duckdb.connect()
+    for t in ("orders", "customer"):
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    want = Counter(db.sql(entry.oracle_sql()["q_overlap_all"]).fetchall())
+    assert Counter(map(tuple, entry.queries()["q_overlap_all"](spark, folder).collect())) == want
+
+
+def test_numbers_round_as_in_duckdb(spark):
+    values = [k / 2e6 for k in range(400)] + [k / 1e6 / 32 for k in range(3000)] + [0.5122125, 0.1269475, 0.2513025, 0.49999999999999994e-6, 1.0]
+    want = [v for (v,) in duckdb.sql("SELECT round(unnest($1::DOUBLE[]), 6)", params=[values]).fetchall()]
+    d = spark.createDataFrame(list(enumerate(values)), "i int, v double")
+    assert [r.v for r in d.select("i", analog.r6_binary(F.col("v")).alias("v")).orderBy("i").collect()] == want
+
+
 def test_composition_takes_all_line_items(spark, data):
     rows = lambda sql: duckdb.sql(sql).fetchall()
     orders, brands = dict(rows(f"SELECT o_orderkey, o_custkey FROM '{data}/orders.parquet'")), dict(rows(f"SELECT p_partkey, p_brand FROM '{data}/part.parquet'"))
